@@ -20,6 +20,7 @@ import sys
 from array import array
 
 import numpy as np
+import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -187,8 +188,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str
 
 
 def _ids(path: str, pattern: str):
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def ids(texts: pd.Series) -> pd.Series:
         enc = encoder(path, pattern)
@@ -199,8 +198,6 @@ def _ids(path: str, pattern: str):
 
 def decode_ids(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes of an array of ids; a null array stays null, an unknown id is an error."""
-    import pandas as pd
-
     @F.pandas_udf(T.BinaryType())
     def decoded(ids: pd.Series) -> pd.Series:
         enc = encoder(path, pattern)

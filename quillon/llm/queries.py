@@ -73,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": shard,
 }
 
-_BASE32 = "list_transform([0, 1, 2, 3, 4, 5, 6, 7], i -> list_transform([15, 10, 5, 0], s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * i, 5))::INTEGER >> s) & 31), 1)))"
+_BASE32 = "list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * i, 5))::INTEGER >> s) & 31), 1)))"
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": f"""
