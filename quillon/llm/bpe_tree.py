@@ -20,7 +20,7 @@ import sys
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -178,32 +178,33 @@ def encoder(path: str, pattern: str) -> TreeBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Add the token ids of ``text_col`` as an array of BIGINT; ``path`` is a file on every executor.
+    """Add the token ids of ``text_col`` as an array of INT; ``path`` is a file on every executor.
 
     A null text counts as empty and has no ids; rows are independent, so repeated rows get equal ids. ``keep`` are
     the columns to carry (all by default); one named like ``ids_col`` is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != ids_col.lower()]
-    return docs.select(*[docs[c] for c in keep], _ids(path, pattern)(docs[text_col]).alias(ids_col))
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        enc, texts = encoder(path, pattern), rows.pop("__text")
+        ids = [np.frombuffer(little_endian(enc.encode(t or "")), "<i4") for t in texts]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return rows | {ids_col: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))}
 
-def _ids(path: str, pattern: str):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        enc = encoder(path, pattern)
-        return texts.map(lambda t: np.array(enc.encode(t or ""), np.int64))
-
-    return ids
+    return map_arrow(docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")), run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Add the bytes of an array of ids; a null array stays null, an unknown id is an error."""
-    @F.pandas_udf(T.BinaryType())
-    def decoded(ids: pd.Series) -> pd.Series:
+    """Add the bytes of an array of ids; a null array stays null, an unknown id is an error. A column named like ``bytes_col`` is replaced."""
+    keep = [c for c in df.columns if c.lower() != bytes_col.lower()]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(bytes_col, T.BinaryType())])
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
         enc = encoder(path, pattern)
-        return ids.map(lambda x: None if x is None else enc.decode(x))
+        return rows | {bytes_col: [None if x is None else enc.decode(x) for x in rows.pop("__ids")]}
 
-    return df.withColumn(bytes_col, decoded(F.col(ids_col)))
+    return map_arrow(df.select(*[df[c] for c in keep], df[ids_col].alias("__ids")), run, schema)
 
 
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

@@ -53,7 +53,7 @@ def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: T.StructType) -> DataFrame:
-    """Apply ``fn`` to the columns of each Arrow batch (as Python lists); it returns the output columns."""
+    """Apply ``fn`` to the columns of each Arrow batch (as Python lists); it returns the output columns, lists or Arrow arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)
@@ -62,7 +62,7 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
         for batch in batches:
             for part in slices(batch):
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

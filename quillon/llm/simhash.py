@@ -134,9 +134,15 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
 # of the few shingles that come first in the view's order. Samples of texts with similarity s agree with probability
 # s ** SAMPLE in each view. What meets is verified by the exact Jaccard similarity of all shingles.
 
+#
+# Members that share a sample's fingerprint are all paired in a small group. A larger one is settled by leaders, twice as
+# many in each round: every member is compared with them, and a member leaves once it is linked to a leader and no other
+# member can be within reach of it but not of the leader. The Jaccard distance is a metric, so d(x, y) <= r needs
+# d(y, leader) <= d(x, leader) + r; who may still be missed stays for the next round. No link's connection is lost, and a
+# group of k near copies costs some 2 k comparisons.
+
 VIEWS, SAMPLE = 12, 3
-#: Members of a sample's group that are all paired; in a larger one, each is paired with the first and the last in the
-#: view's order, which differ from view to view.
+#: Members of a sample's group that are all paired.
 PAIRED = 8
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(64)], np.uint64)
 
@@ -183,37 +189,24 @@ def _described(docs: DataFrame, key: str, text_col: str, shingle: int) -> DataFr
     return map_arrow(slim, run, schema).select(F.struct(F.col(key).alias("k"), "h").alias("id"), "n", "fp", "views")
 
 
-def _candidates(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a < b, of ids that share a sample's fingerprint or have whole fingerprints within two bits."""
-    by_view = rows.filter("n > 0").select("id", "n", F.posexplode("views").alias("view", "print"))
-    whole = rows.filter("n > 0").select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print"))
-    members = by_view.unionByName(whole).withColumn("turn", F.xxhash64("view", "id"))
-    groups = members.groupBy("view", "print").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("turn", "id", "n")).alias("one"), F.max(F.struct("turn", "id", "n")).alias("two")).filter("size > 1")
+def _groups(members: DataFrame) -> DataFrame:
+    """Members (view, print, id, n) of groups with several, with ``size`` and the group's ``first`` turn."""
+    groups = members.groupBy("view", "print").agg(F.count(F.lit(1)).alias("size"), F.min("turn").alias("first")).filter("size > 1")
     # by keys of their own, so that a hot group can be split
-    groups = groups.select(F.col("view").alias("v"), F.col("print").alias("p"), F.xxhash64("view", "print").alias("g"), "size", "one", "two")
-    shared = members.withColumn("gg", F.xxhash64("view", "print")).join(groups, (F.col("gg") == F.col("g")) & (F.col("view") == F.col("v")) & (F.col("print") == F.col("p"))).drop("gg", "g", "v", "p")
-    shared = settle(shared)
-    few = shared.filter(F.col("size") <= PAIRED).groupBy("view", "print").agg(F.collect_list(F.struct("id", "n")).alias("m"))
-    few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    many = shared.filter(F.col("size") > PAIRED).select(F.struct("id", "n").alias("x"), F.explode(F.array("one", "two")).alias("o")).select("x", F.struct("o.id", "o.n").alias("y"))
-    # whole fingerprints that differ in one or two bits: the smallest ids stand for them
-    prints = rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first"))
-    prints = settle(prints)
-    near = links(prints.select("fp"))
-    a, b = prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), prints.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    pairs = few.unionByName(many).unionByName(near.join(a, "a").join(b, "b").select("x", "y"))
+    groups = groups.select(F.col("view").alias("v"), F.col("print").alias("p"), F.xxhash64("view", "print").alias("g"), "size", "first")
+    keyed = members.withColumn("gg", F.xxhash64("view", "print"))
+    return keyed.join(groups, (F.col("gg") == F.col("g")) & (F.col("view") == F.col("v")) & (F.col("print") == F.col("p"))).drop("g", "v", "p")
+
+
+def _ordered(pairs: DataFrame, floor: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of x and y whose numbers of shingles allow for a similarity of ``floor``."""
     longer, shorter = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
-    fit = pairs.filter((F.col("x.id") != F.col("y.id")) & (shorter >= longer * least))
+    fit = pairs.filter((F.col("x.id") != F.col("y.id")) & (shorter >= longer * floor))
     return fit.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """Rows (id, component) of documents with a verified link: id and component are structs of key and text hash.
-
-    Links are pairs with a Jaccard similarity of ``least`` or more of their shingle sets; the component is the smallest id.
-    """
-    rows = settle(_described(docs, key, text_col, shingle))
-    pairs = settle(_candidates(rows, least))
+def _similarities(docs: DataFrame, key: str, text_col: str, shingle: int, pairs: DataFrame, floor: float) -> DataFrame:
+    """The pairs (a, b) with the exact Jaccard similarity ``sim`` of their shingle sets, if ``floor`` or more; settled."""
     ends = settle(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct())
     schema = T.StructType([ends.schema["e"], T.StructField("s", T.ArrayType(T.LongType()))])
 
@@ -224,7 +217,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "te
     sets = settle(map_arrow(slim.join(small_side(ends), F.col("i") == F.col("e")).select("e", "t"), hashed, schema).dropDuplicates(["e"]))
     one, two = sets.select(F.col("e").alias("a"), F.col("s").alias("sa")), sets.select(F.col("e").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    edges = settle(both.filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
+    sim = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))
+    return settle(both.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= floor))
+
+
+def _left_over(led: DataFrame, big: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Members of large groups for the next round; ``led``: (view, print, x, y) of each member x and leader y."""
+    keyed = led.select("view", "print", F.col("y.id").alias("leader"), F.col("x.id").alias("id"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    near = keyed.join(known, ["a", "b"]).select("view", "print", "leader", "id", (1 - F.col("sim")).alias("d"))
+    reach = 1 - least
+    nearest = near.filter(F.col("d") > reach).groupBy("view", "print", "leader").agg(F.min("d").alias("m"))
+    # by a key of its own, as above
+    nearest = nearest.select(F.xxhash64("view", "print", "leader").alias("g"), F.col("leader").alias("l"), "m")
+    linked = near.filter(F.col("d") <= reach).withColumn("gg", F.xxhash64("view", "print", "leader"))
+    safe = linked.join(nearest, (F.col("gg") == F.col("g")) & (F.col("leader") == F.col("l")), "left").filter(F.col("m").isNull() | (F.col("d") + reach < F.col("m") - 1e-9))
+    gone = safe.select("view", "print", "id").unionByName(keyed.select("view", "print", F.col("leader").alias("id"))).distinct()
+    return settle(big.join(gone, ["view", "print", "id"], "left_anti").select("view", "print", "id", "n"))
+
+
+def _edges(docs: DataFrame, key: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Verified links (a, b) that connect all candidates with a similarity of ``least`` or more."""
+    rows = settle(_described(docs, key, text_col, shingle).filter("n > 0"))
+    by_view = rows.select("id", "n", F.posexplode("views").alias("view", "print"))
+    members = by_view.unionByName(rows.select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print")))
+    # whole fingerprints that differ in one or two bits: the smallest ids stand for them
+    prints = settle(rows.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")))
+    a, b = prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), prints.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    pairs, known, leaders, floor = links(prints.select("fp")).join(a, "a").join(b, "b").select("x", "y"), None, 2, 2 * least - 1
+    while True:
+        shared = settle(_groups(members.withColumn("turn", F.xxhash64(F.lit(leaders), "view", "id"))))
+        x = F.struct("id", "n")
+        few = shared.filter(F.col("size") <= PAIRED).groupBy("view", "print").agg(F.collect_list(x).alias("m"))
+        few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
+        big = shared.filter(F.col("size") > PAIRED)
+        share = F.shiftrightunsigned("turn", 11) < F.lit(float(1 << 53) * leaders) / F.col("size")
+        lead = big.filter((F.col("turn") == F.col("first")) | share).select(F.col("gg").alias("g"), F.col("view").alias("v"), F.col("print").alias("p"), x.alias("y"))
+        led = settle(big.select("gg", "view", "print", x.alias("x")).join(lead, (F.col("gg") == F.col("g")) & (F.col("view") == F.col("v")) & (F.col("print") == F.col("p"))).select("view", "print", "x", "y"))
+        pairs = _ordered(pairs.unionByName(few), least).unionByName(_ordered(led.select("x", "y"), floor)).distinct()
+        found = _similarities(docs, key, text_col, shingle, settle(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")), floor)
+        known = found if known is None else settle(known.unionByName(found))
+        members = _left_over(led, big, known, least)
+        if members.limit(1).count() == 0:
+            return known.filter(F.col("sim") >= least).select("a", "b")
+        pairs, leaders = few.limit(0), leaders * 2
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows (id, component) of documents with a verified link: id and component are structs of key and text hash.
+
+    Links are pairs with a Jaccard similarity of ``least`` or more of their shingle sets; the component is the smallest id.
+    """
+    edges = settle(_edges(docs, key, text_col, shingle, least))
     nodes = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     return components(edges, nodes.select("fp", F.col("fp").alias("label"))).select(F.col("fp").alias("id"), "component")
 
