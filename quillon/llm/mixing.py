@@ -230,7 +230,8 @@ def taken_ranges(rows: DataFrame, sources: list[Source], *, block: int = BLOCK,
     uses = slots(spark, sources, seed).groupBy("number", "block", "gives").agg(F.count(F.lit(1)).alias("times"))
     pieces = segments(offsets(rows, sources), block)
     high = F.least(F.col("high"), F.col("low") + F.col("gives") - F.col("at"))
-    return pieces.join(uses, ["number", "block"]).withColumn("high", high).filter("high > low").drop("block", "gives", "at")
+    # the plan takes the slots for as few as the draws they come from; they are as many as the blocks
+    return pieces.join(uses.hint("shuffle_merge"), ["number", "block"]).withColumn("high", high).filter("high > low").drop("block", "gives", "at")
 
 
 def _totals(rows: DataFrame) -> list[tuple[str | None, int, int]]:
