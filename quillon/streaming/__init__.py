@@ -1,0 +1 @@
+"""Nothing here yet: the engine answers batch queries over tables, and has no streaming operator to offer."""
