@@ -44,6 +44,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``settle``, as a Parquet table in the shared folder: for rounds of joins.
+
+    A checkpoint hands on the planner's estimate of its size, which every join multiplies, so that over rounds the
+    number itself becomes too long to reckon with; a table has the size of its files.
+    """
+    path = new_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the tables that ``stored`` wrote for ``df``, which nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("rows-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has ``most`` rows at most (counted here), else as it is: then Spark shuffles the join.
 

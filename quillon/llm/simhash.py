@@ -17,12 +17,13 @@ Links join distinct fingerprints (copies are one fingerprint); components come f
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import map_arrow, settle, small_side
+from quillon.llm.common import forget, map_arrow, small_side, stored
 
 #: Fingerprints that a grid cell may pair; a cell with more is linked through centres.
 CROWDED = 32
@@ -78,7 +79,7 @@ def links(prints: DataFrame) -> DataFrame:
         steps.append(f"if({count} > 0, {rest} | shiftleft({count} - 1L, {4 * i}), null)")
     cells = prints.select("fp", cell.alias("cell")).select("fp", F.explode(F.expr(f"array_compact(array(cell, {', '.join(steps)}))")).alias("cell"))
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = settle(cells.join(counts, "cell"))
+    shared = stored(cells.join(counts, "cell"))
     few = shared.filter(F.col("n") <= CROWDED)
     close = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell").filter("a < b and bit_count(a ^ b) <= 2").select("a", "b").distinct()
     crowded = shared.filter(F.col("n") > CROWDED).select("fp").distinct()
@@ -94,18 +95,20 @@ def components(edges: DataFrame, nodes: DataFrame, *, most_rounds: int = 60) ->
     Rounds of taking the smallest label next door and then following it one jump, until none changes; each round's
     labels are settled in the shared folder.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     # label by node number: the smallest label's node stands for it, so that jumps can follow it
-    state = settle(nodes.select("fp", F.col("label"), F.struct(F.col("label").alias("l"), F.col("fp").alias("f")).alias("root")))
+    state = stored(nodes.select("fp", F.col("label"), F.struct(F.col("label").alias("l"), F.col("fp").alias("f")).alias("root")))
     for _ in range(most_rounds):
         near = both.join(state.select(F.col("fp").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = state.join(near, state["fp"] == near["a"], "left").select("fp", "label", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        step = settle(step)
+        step = stored(state.join(near, state["fp"] == near["a"], "left").select("fp", "label", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         ahead = step.select(F.col("fp").alias("f"), F.col("root").alias("ahead"))
-        state = settle(step.join(ahead, F.col("root.f") == F.col("f"), "left").select("fp", "label", "was", F.least("root", "ahead").alias("root")))
-        if state.filter("was != root").limit(1).count() == 0:
-            return state.select("fp", F.col("root.l").alias("component"))
-        state = state.select("fp", "label", "root")
+        after = stored(step.join(ahead, F.col("root.f") == F.col("f"), "left").select("fp", "label", "was", F.least("root", "ahead").alias("root")))
+        forget(state)
+        forget(step)
+        if after.filter("was != root").limit(1).count() == 0:
+            forget(both)
+            return after.select("fp", F.col("root.l").alias("component"))
+        state = after.select("fp", "label", "root")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -116,9 +119,9 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
     stands for a component unless all keys in it are null.
     """
     slim = docs.select(docs[key].alias("__key"), docs[text_col].alias("__body"))
-    rows = settle(fingerprints(slim, ["__key"], text_col="__body", shingle=shingle))
-    prints = settle(rows.groupBy("fp").agg(F.min("__key").alias("label"), F.count(F.lit(1)).alias("n")))
-    edges = settle(links(prints.select("fp")))
+    rows = stored(fingerprints(slim, ["__key"], text_col="__body", shingle=shingle))
+    prints = stored(rows.groupBy("fp").agg(F.min("__key").alias("label"), F.count(F.lit(1)).alias("n")))
+    edges = stored(links(prints.select("fp")))
     ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     linked = components(edges, prints.join(ends, "fp", "left_semi").select("fp", "label"))
     # a fingerprint of its own, with one row, needs no lookup
@@ -135,15 +138,16 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
 # s ** SAMPLE in each view. What meets is verified by the exact Jaccard similarity of all shingles.
 
 #
-# Members that share a sample's fingerprint are all paired in a small group. A larger one is settled by leaders, twice as
-# many in each round: every member is compared with them, and a member leaves once it is linked to a leader and no other
-# member can be within reach of it but not of the leader. The Jaccard distance is a metric, so d(x, y) <= r needs
-# d(y, leader) <= d(x, leader) + r; who may still be missed stays for the next round. No link's connection is lost, and a
-# group of k near copies costs some 2 k comparisons.
+# Members that share a sample's fingerprint are paired in a small group. A larger one is cut into blocks by a hash of the
+# members; each two blocks are compared in one task, all members with all, by products of their incidence matrices, and
+# only links that make a spanning forest come out. So no pairs are emitted, memory is that of two blocks, and no link's
+# connection is lost, however large the group.
 
 VIEWS, SAMPLE = 12, 3
-#: Members of a sample's group that are all paired.
-PAIRED = 8
+#: Members of a sample's group that are paired; and the mean members and shingles of a block of a larger one.
+PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 8, 2048, 2_000_000
+#: Shingles that are multiplied at once.
+COLUMNS = 4096
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(64)], np.uint64)
 
 
@@ -190,76 +194,117 @@ def _described(docs: DataFrame, key: str, text_col: str, shingle: int) -> DataFr
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """Members (view, print, id, n) of groups with several, with ``size`` and the group's ``first`` turn."""
-    groups = members.groupBy("view", "print").agg(F.count(F.lit(1)).alias("size"), F.min("turn").alias("first")).filter("size > 1")
+    """Members (view, print, id, n) of groups with several, with ``size``, ``total`` (shingles) and ``gg``, a key of the group."""
+    groups = members.groupBy("view", "print").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
     # by keys of their own, so that a hot group can be split
-    groups = groups.select(F.col("view").alias("v"), F.col("print").alias("p"), F.xxhash64("view", "print").alias("g"), "size", "first")
+    groups = groups.select(F.col("view").alias("v"), F.col("print").alias("p"), F.xxhash64("view", "print").alias("g"), "size", "total")
     keyed = members.withColumn("gg", F.xxhash64("view", "print"))
     return keyed.join(groups, (F.col("gg") == F.col("g")) & (F.col("view") == F.col("v")) & (F.col("print") == F.col("p"))).drop("g", "v", "p")
 
 
-def _ordered(pairs: DataFrame, floor: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of x and y whose numbers of shingles allow for a similarity of ``floor``."""
+def _pairs(few: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of x and y whose numbers of shingles allow for a similarity of ``least``."""
     longer, shorter = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
-    fit = pairs.filter((F.col("x.id") != F.col("y.id")) & (shorter >= longer * floor))
+    fit = few.filter((F.col("x.id") != F.col("y.id")) & (shorter >= longer * least))
     return fit.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _similarities(docs: DataFrame, key: str, text_col: str, shingle: int, pairs: DataFrame, floor: float) -> DataFrame:
-    """The pairs (a, b) with the exact Jaccard similarity ``sim`` of their shingle sets, if ``floor`` or more; settled."""
-    ends = settle(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct())
-    schema = T.StructType([ends.schema["e"], T.StructField("s", T.ArrayType(T.LongType()))])
+def forest(rows: np.ndarray, values: np.ndarray, first: np.ndarray, second: np.ndarray, n: int, least: float) -> list[tuple[int, int]]:
+    """Links that connect, of members 0 to n - 1, all of ``first`` with all of ``second`` within Jaccard ``least``.
 
-    def hashed(batch: dict[str, list]) -> dict[str, list]:
-        return {"e": batch["e"], "s": [shingle_hashes(t, shingle).view(np.int64).tolist() for t in batch["t"]]}
+    ``rows`` and ``values`` are the members' shingles, each distinct in its member.
+    """
+    sizes = np.bincount(rows, minlength=n)
+    _, column = np.unique(values, return_inverse=True)
+    places = [np.full(n, -1), np.full(n, -1)]
+    for place, side in zip(places, (first, second), strict=True):
+        place[side] = np.arange(len(side))
+    shared = np.ones(column.max(initial=-1) + 1, bool)
+    for place in places:  # a shingle counts if both sides have it
+        shared &= np.bincount(column[place[rows] >= 0], minlength=len(shared)) > 0
+    numbered = np.cumsum(shared) - 1
+    use = shared[column]
+    order = np.argsort(numbered[column[use]], kind="stable")
+    row, col = rows[use][order], numbered[column[use]][order]
+    common = np.zeros((len(first), len(second)), np.float32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(col, [low, low + COLUMNS])
+        sides = []
+        for place, side in zip(places, (first, second), strict=True):
+            at, inside = place[row[i:j]], np.zeros((len(side), COLUMNS), np.float32)
+            inside[at[at >= 0], col[i:j][at >= 0] - low] = 1
+            sides.append(inside)
+        common += sides[0] @ sides[1].T
+    both = sizes[first][:, None] + sizes[second][None, :] - common
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(common >= least * both - 1e-6)), strict=True):
+        a, b = find(int(first[i])), find(int(second[j]))
+        if a != b:
+            root[b] = a
+            out.append((int(first[i]), int(second[j])))
+    return out
 
-    slim = docs.select(F.struct(docs[key].alias("k"), F.xxhash64(docs[text_col]).alias("h")).alias("i"), docs[text_col].cast("binary").alias("t"))
-    sets = settle(map_arrow(slim.join(small_side(ends), F.col("i") == F.col("e")).select("e", "t"), hashed, schema).dropDuplicates(["e"]))
-    one, two = sets.select(F.col("e").alias("a"), F.col("s").alias("sa")), sets.select(F.col("e").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    sim = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))
-    return settle(both.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= floor))
 
+def _in_blocks(big: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect the members of large groups; ``sets``: (e, s) of each member."""
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = big.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("gg", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+    link = T.StructType([T.StructField(c, big.schema["id"].dataType) for c in ("a", "b")])
 
-def _left_over(led: DataFrame, big: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Members of large groups for the next round; ``led``: (view, print, x, y) of each member x and leader y."""
-    keyed = led.select("view", "print", F.col("y.id").alias("leader"), F.col("x.id").alias("id"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    near = keyed.join(known, ["a", "b"]).select("view", "print", "leader", "id", (1 - F.col("sim")).alias("d"))
-    reach = 1 - least
-    nearest = near.filter(F.col("d") > reach).groupBy("view", "print", "leader").agg(F.min("d").alias("m"))
-    # by a key of its own, as above
-    nearest = nearest.select(F.xxhash64("view", "print", "leader").alias("g"), F.col("leader").alias("l"), "m")
-    linked = near.filter(F.col("d") <= reach).withColumn("gg", F.xxhash64("view", "print", "leader"))
-    safe = linked.join(nearest, (F.col("gg") == F.col("g")) & (F.col("leader") == F.col("l")), "left").filter(F.col("m").isNull() | (F.col("d") + reach < F.col("m") - 1e-9))
-    gone = safe.select("view", "print", "id").unionByName(keyed.select("view", "print", F.col("leader").alias("id"))).distinct()
-    return settle(big.join(gone, ["view", "print", "id"], "left_anti").select("view", "print", "id", "n"))
+    def compared(table: pa.Table) -> pa.Table:
+        ids, own = table.column("id").combine_chunks(), table.column("block").to_numpy()
+        listed = table.column("s").combine_chunks()
+        rows = np.repeat(np.arange(len(ids)), np.diff(listed.offsets.to_numpy()))
+        first, second = np.flatnonzero(own == table.column("i")[0].as_py()), np.flatnonzero(own == table.column("j")[0].as_py())
+        found = forest(rows, listed.flatten().to_numpy(), first, second, len(ids), least)
+        return pa.table({"a": ids.take(pa.array([a for a, _ in found], pa.int64())), "b": ids.take(pa.array([b for _, b in found], pa.int64()))})
+
+    met = dealt.join(sets, F.col("id") == F.col("e")).select("gg", "i", "j", "block", "id", "s")
+    return met.groupBy("gg", "i", "j").applyInArrow(compared, link)
 
 
 def _edges(docs: DataFrame, key: str, text_col: str, shingle: int, least: float) -> DataFrame:
     """Verified links (a, b) that connect all candidates with a similarity of ``least`` or more."""
-    rows = settle(_described(docs, key, text_col, shingle).filter("n > 0"))
+    rows = stored(_described(docs, key, text_col, shingle).filter("n > 0").dropDuplicates(["id"]))
     by_view = rows.select("id", "n", F.posexplode("views").alias("view", "print"))
-    members = by_view.unionByName(rows.select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print")))
+    shared = stored(_groups(by_view.unionByName(rows.select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print")))))
+    x = F.struct("id", "n")
+    few = shared.filter(F.col("size") <= PAIRED).groupBy("view", "print").agg(F.collect_list(x).alias("m"))
+    few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
     # whole fingerprints that differ in one or two bits: the smallest ids stand for them
-    prints = settle(rows.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")))
+    prints = stored(rows.groupBy("fp").agg(F.min(x).alias("first")))
     a, b = prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), prints.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    pairs, known, leaders, floor = links(prints.select("fp")).join(a, "a").join(b, "b").select("x", "y"), None, 2, 2 * least - 1
-    while True:
-        shared = settle(_groups(members.withColumn("turn", F.xxhash64(F.lit(leaders), "view", "id"))))
-        x = F.struct("id", "n")
-        few = shared.filter(F.col("size") <= PAIRED).groupBy("view", "print").agg(F.collect_list(x).alias("m"))
-        few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-        big = shared.filter(F.col("size") > PAIRED)
-        share = F.shiftrightunsigned("turn", 11) < F.lit(float(1 << 53) * leaders) / F.col("size")
-        lead = big.filter((F.col("turn") == F.col("first")) | share).select(F.col("gg").alias("g"), F.col("view").alias("v"), F.col("print").alias("p"), x.alias("y"))
-        led = settle(big.select("gg", "view", "print", x.alias("x")).join(lead, (F.col("gg") == F.col("g")) & (F.col("view") == F.col("v")) & (F.col("print") == F.col("p"))).select("view", "print", "x", "y"))
-        pairs = _ordered(pairs.unionByName(few), least).unionByName(_ordered(led.select("x", "y"), floor)).distinct()
-        found = _similarities(docs, key, text_col, shingle, settle(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")), floor)
-        known = found if known is None else settle(known.unionByName(found))
-        members = _left_over(led, big, known, least)
-        if members.limit(1).count() == 0:
-            return known.filter(F.col("sim") >= least).select("a", "b")
-        pairs, leaders = few.limit(0), leaders * 2
+    pairs = stored(_pairs(few.unionByName(links(prints.select("fp")).join(a, "a").join(b, "b").select("x", "y")), least))
+    big = shared.filter(F.col("size") > PAIRED)
+    ends = stored(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).unionByName(big.select(F.col("id").alias("e"))).distinct())
+    sets = stored(_shingle_sets(docs, key, text_col, shingle, ends))
+    one, two = sets.select(F.col("e").alias("a"), F.col("s").alias("sa")), sets.select(F.col("e").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    paired = both.filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-6).select("a", "b")
+    out = stored(paired.unionByName(_in_blocks(big, sets, least)).distinct())
+    for done in (rows, shared, prints, pairs, ends, sets):
+        forget(done)
+    return out
+
+
+def _shingle_sets(docs: DataFrame, key: str, text_col: str, shingle: int, ends: DataFrame) -> DataFrame:
+    """Rows (e, s): the ids ``ends`` and their distinct shingles."""
+    schema = T.StructType([ends.schema["e"], T.StructField("s", T.ArrayType(T.LongType()))])
+
+    def hashed(batch: dict[str, list]) -> dict[str, list]:
+        return {"e": batch["e"], "s": [shingle_hashes(t, shingle).view(np.int64) for t in batch["t"]]}
+
+    slim = docs.select(F.struct(docs[key].alias("k"), F.xxhash64(docs[text_col]).alias("h")).alias("i"), docs[text_col].cast("binary").alias("t"))
+    return map_arrow(slim.join(small_side(ends), F.col("i") == F.col("e")).select("e", "t"), hashed, schema).dropDuplicates(["e"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -267,7 +312,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "te
 
     Links are pairs with a Jaccard similarity of ``least`` or more of their shingle sets; the component is the smallest id.
     """
-    edges = settle(_edges(docs, key, text_col, shingle, least))
+    edges = _edges(docs, key, text_col, shingle, least)
     nodes = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     return components(edges, nodes.select("fp", F.col("fp").alias("label"))).select(F.col("fp").alias("id"), "component")
 
@@ -278,6 +323,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str
     Texts without words are no near-duplicates of anything. Rows that agree in key and text are one document.
     """
     found = near_duplicates(docs, key, text_col=text_col, shingle=shingle, least=least)
-    gone = settle(found.filter("id != component").select("id"))
+    gone = stored(found.filter("id != component").select("id"))
     here = F.struct(docs[key].alias("k"), F.xxhash64(docs[text_col]).alias("h"))
     return docs.withColumn("__id", here).join(small_side(gone), F.col("__id") == F.col("id"), "left_anti").select(*docs.columns)
