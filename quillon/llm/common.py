@@ -72,22 +72,32 @@ def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of documents at most.
+BATCH_ROWS = 1000
+
+
 def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: T.StructType) -> DataFrame:
     """Apply ``fn`` to the columns of each Arrow batch (as Python lists); it returns the output columns, lists or Arrow arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)
+    # a batch of Spark's default number of rows can hold a large part of a worker's memory in whole texts
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in target], schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes, one row at least, so that Python holds few whole texts at once."""
     rows = batch.num_rows
     if rows == 0:
