@@ -1,0 +1,108 @@
+"""Statements of the dialect on small tables, and what must fail."""
+
+import pytest
+from pyspark.errors import PySparkException
+from quillon.cli import command
+from quillon.errors import BindError, CatalogError, EngineError, ParseError, UnsupportedStatement
+from quillon.operators.joins import join, salted_join
+from quillon.session import Engine
+
+
+@pytest.fixture
+def engine(spark):
+    return Engine(spark)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_created_tables_start_empty_and_have_one_owner(engine):
+    engine.run("CREATE TABLE a(i INTEGER, j INTEGER)")
+    assert rows(engine.sql("SELECT i, j FROM a")) == []
+    with pytest.raises(CatalogError):
+        engine.sql("CREATE TABLE a(i INTEGER)")
+
+
+def test_insert_of_some_columns_leaves_the_others_null(engine):
+    engine.run("CREATE TABLE t(a VARCHAR, b VARCHAR, c INT); INSERT INTO t(c, a) VALUES (7, 'x'); INSERT INTO t VALUES ('', 'y', NULL)")
+    assert sorted(rows(engine.sql("SELECT a, b, c FROM t"))) == [("", "y", None), ("x", None, 7)]
+
+
+@pytest.mark.parametrize("text", ["INSERT INTO t VALUES (1)", "INSERT INTO t(a) VALUES (1, 2)", "INSERT INTO t(a, nowhere) VALUES (1, 2)"])
+def test_insert_with_wrong_columns_fails(engine, text):
+    engine.sql("CREATE TABLE t(a INT, b INT)")
+    with pytest.raises(EngineError):
+        engine.sql(text)
+
+
+def test_insert_out_of_range_fails_and_adds_nothing(engine):
+    engine.sql("CREATE TABLE t(v TINYINT UNSIGNED)")
+    with pytest.raises((EngineError, PySparkException)):
+        engine.sql("INSERT INTO t VALUES (1481)").collect()
+    assert rows(engine.sql("SELECT v FROM t")) == []
+
+
+def test_alias_in_where_group_and_order(engine):
+    engine.run("CREATE TABLE t(a INT, b INT); INSERT INTO t VALUES (1, 10), (2, 20), (3, 20)")
+    assert rows(engine.sql("SELECT a + 1 AS x FROM t WHERE x > 2 ORDER BY x DESC")) == [(4,), (3,)]
+    assert sorted(rows(engine.sql("SELECT b AS g, count(a) AS n FROM t GROUP BY g"))) == [(10, 1), (20, 2)]
+
+
+def test_null_logic_and_null_keys(engine):
+    engine.run("CREATE TABLE t(a INT); INSERT INTO t VALUES (1), (2), (3), (NULL)")
+    assert rows(engine.sql("SELECT a FROM t WHERE a > 1 AND a < 3")) == [(2,)]
+    assert rows(engine.sql("SELECT x.a FROM t x JOIN t y ON x.a = y.a WHERE x.a > 2")) == [(3,)]
+    assert rows(engine.sql("SELECT sum(a) AS s, count(a) AS n FROM t")) == [(6, 3)]
+
+
+def test_integers_divide_to_integers(engine):
+    assert rows(engine.sql("SELECT 7 / 2 AS d, 7 % 4 AS m")) == [(3, 3)]
+
+
+def test_csv_types_empty_cells_and_quotes(engine, tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_text('id,title,salary\n1,Boss,12000\n2,"Head, Sales",\n3,,5\n')
+    engine.load_csv("people", str(path))
+    assert rows(engine.sql("SELECT id, title, salary FROM people ORDER BY id")) == [(1, "Boss", 12000), (2, "Head, Sales", None), (3, "", 5)]
+    assert rows(engine.sql(f"SELECT sum(p.salary) AS s FROM '{path}' p")) == [(12005,)]
+
+
+def test_copy_from_keeps_texts_as_they_are(engine, tmp_path):
+    path = tmp_path / "codes.csv"
+    path.write_text("007|x\n010|y\n")
+    engine.run(f"CREATE TABLE c(a VARCHAR, b VARCHAR); COPY c FROM '{path}' (DELIMITER '|', HEADER false)")
+    assert sorted(rows(engine.sql("SELECT a, b FROM c"))) == [("007", "x"), ("010", "y")]
+
+
+def test_explain_shows_both_plans(engine):
+    text = engine.explain("SELECT 1 AS a")
+    assert text.startswith("original plan:") and "optimized plan:" in text
+
+
+@pytest.mark.parametrize(("text", "error"), [("DROP TABLE t", UnsupportedStatement), ("SELECT 1; SELECT 2", ParseError), ("SELECT a FROM read_csv('x.csv', wrong=>1)", BindError), ("DESCRIBE nothing", CatalogError)])
+def test_what_is_refused(engine, text, error):
+    with pytest.raises(error):
+        engine.sql(text)
+
+
+def test_shell_commands(engine, tmp_path, capsys):
+    path = tmp_path / "t.csv"
+    path.write_text("a\n5\n")
+    assert command(engine, f"\\load csv t {path}") and command(engine, "SELECT a FROM t;") and command(engine, "\\dt")
+    assert "|5" in capsys.readouterr().out
+    assert not command(engine, "\\q")
+
+
+def test_salted_join_equals_join(spark):
+    left = spark.createDataFrame([(1 if i % 3 else None, i) for i in range(60)] + [(2, 99)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "k int, w string")
+    plain = left.join(right, "k", "left").select("k", "v", "w")
+    assert sorted(rows(salted_join(left, right, ["k"], how="left").select("k", "v", "w")), key=repr) == sorted(rows(plain), key=repr)
+    with pytest.raises(ValueError):
+        salted_join(left, right, ["k"], how="full")
+
+
+def test_residual_condition_holds_inside_an_outer_join(spark):
+    left, right = spark.createDataFrame([(1, 5), (2, 6)], "a int, x int"), spark.createDataFrame([(1, 1), (2, 9)], "b int, y int")
+    assert sorted(rows(join(left, right, [("a", "b")], "left", right["y"] > 3))) == [(1, 5, None, None), (2, 6, 2, 9)]
