@@ -91,6 +91,8 @@ class PpmModel:
 def fit(sample: dict[str, list[bytes]], *, order: int = 4, min_count: int = 8, max_states: int = 6000) -> PpmModel:
     """Count, prune and compile. Pruning is by total count over the languages, so what is kept holds every substring of it."""
     langs = sorted(sample)
+    if not langs:
+        return PpmModel([], np.zeros(256, np.int64), np.zeros(1, np.int64), np.zeros((1, 0)), 1, order)
     data = {g: b"\n".join(sample[g]) for g in langs}
     seen = np.zeros(256, bool)
     for g in langs:

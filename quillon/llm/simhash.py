@@ -323,6 +323,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str
     Texts without words are no near-duplicates of anything. Rows that agree in key and text are one document.
     """
     found = near_duplicates(docs, key, text_col=text_col, shingle=shingle, least=least)
-    gone = stored(found.filter("id != component").select("id"))
+    gone = stored(found.filter("id != component").select(F.col("id").alias("__gone")))
     here = F.struct(docs[key].alias("k"), F.xxhash64(docs[text_col]).alias("h"))
-    return docs.withColumn("__id", here).join(small_side(gone), F.col("__id") == F.col("id"), "left_anti").select(*docs.columns)
+    return docs.withColumn("__id", here).join(small_side(gone), F.col("__id") == F.col("__gone"), "left_anti").select(*docs.columns)
