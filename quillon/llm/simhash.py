@@ -16,6 +16,8 @@ Links join distinct fingerprints (copies are one fingerprint); components come f
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -143,12 +145,14 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
 # only links that make a spanning forest come out. So no pairs are emitted, memory is that of two blocks, and no link's
 # connection is lost, however large the group.
 
-VIEWS, SAMPLE = 12, 3
+VIEWS, SAMPLE = 24, 3
 #: Members of a sample's group that are paired; and the mean members and shingles of a block of a larger one.
 PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 8, 2048, 2_000_000
 #: Shingles that are multiplied at once.
 COLUMNS = 4096
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(64)], np.uint64)
+#: Keys of orders that are computed at once.
+ORDERED = 1 << 19
+_SEEDS = np.array([int.from_bytes(hashlib.sha256(b"view %d" % i).digest()[:8], "little") for i in range(64)], np.uint64)
 
 
 def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
@@ -163,16 +167,26 @@ def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(begins[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def view_orders(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A row per seed: the hashes' keys in that view's order, by the finaliser of SplitMix64, so that views are independent."""
+    with np.errstate(over="ignore"):
+        x = hashes[None, :] ^ seeds[:, None]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def view_prints(hashes: np.ndarray, views: int = VIEWS, sample: int = SAMPLE) -> list[int]:
     """Per view the SimHash (bitwise majority) of the shingles that come first in its order."""
-    out = []
-    for v in range(views if len(hashes) else 0):
-        with np.errstate(over="ignore"):
-            order = (hashes ^ (hashes >> np.uint64(29))) * _ODD[v]
-            order ^= order >> np.uint64(32)
-        first = np.argpartition(order, sample)[:sample] if len(order) > sample else np.arange(len(order))
-        bits = np.unpackbits(hashes[first].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-        out.append(int(np.packbits((2 * bits > len(first)).astype(np.uint8), bitorder="little").view(np.int64)[0]))
+    out: list[int] = []
+    if not len(hashes):
+        return out
+    at_once = max(1, ORDERED // len(hashes))
+    for low in range(0, views, at_once):
+        order = view_orders(hashes, _SEEDS[low : min(views, low + at_once)])
+        first = np.argpartition(order, sample, axis=1)[:, :sample] if len(hashes) > sample else np.broadcast_to(np.arange(len(hashes)), order.shape)
+        bits = np.unpackbits(hashes[first].view(np.uint8).reshape(*first.shape, 8), axis=2, bitorder="little").sum(axis=1)
+        out += np.packbits((2 * bits > first.shape[1]).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel().tolist()
     return out
 
 

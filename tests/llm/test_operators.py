@@ -10,6 +10,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -322,6 +323,26 @@ def test_near_duplicates_equal_all_comparisons(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted({g for g in group.values()})
 
 
+def test_near_duplicate_views_are_independent():
+    """Random pairs of shingle sets at 0.8 to 0.95: each pair meets in a view, and views agree no more often together than alone."""
+    rng, agree = np.random.default_rng(7), []
+    for similarity in (0.8, 0.9, 0.95):
+        for size in (60, 200, 1000):
+            for _ in range(200):
+                common = round(size * similarity)
+                union, half = rng.integers(0, 1 << 64, size, dtype=np.uint64), (size - common) // 2
+                a, b = np.sort(union[: common + half]), np.sort(np.concatenate([union[:common], union[common + half :]]))
+                same = [x == y for x, y in zip(simhash.view_prints(a), simhash.view_prints(b), strict=True)]
+                assert any(same)
+                if similarity == 0.8:
+                    agree.append(sum(same))
+    views = simhash.VIEWS
+    share = sum(agree) / len(agree) / views
+    assert share == pytest.approx(0.8**simhash.SAMPLE, abs=0.03)
+    spread = sum((x - share * views) ** 2 for x in agree) / len(agree)
+    assert spread < 1.3 * views * share * (1 - share)
+
+
 # -- 10 -------------------------------------------------------------------------------------------------------
 
 
