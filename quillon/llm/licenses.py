@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are paragraphs (separated by blank lines) and, beside them, single lines; a block meets a template if it
-contains at least ``threshold`` of the template's distinct words, or is itself the template's place in a longer text.
+Blocks are paragraphs (separated by blank lines), single lines, and the words on either side of a blank line, as many as
+a template has and a margin, for templates whose layout holds blank lines; a block meets a template if it contains at
+least ``threshold`` of the template's distinct words.
 All tokens are put into one global order, rarest first (frequencies are counted over every block of the corpus), and:
 
 * prefix filter: with o = ceil(threshold * |T|) required words, a matching block holds one of the first |T| - o + 1
@@ -79,23 +80,41 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
     return out
 
 
+def seams_of(raw: bytes) -> tuple[list[bytes], list[int]]:
+    """The words of a text in order, and the numbers of those that a paragraph other than the first begins with."""
+    words: list[bytes] = []
+    seams: list[int] = []
+    for paragraph in _BLANK.split(raw.lower()):
+        more = _WORDS.findall(paragraph)
+        if more and words:
+            seams.append(len(words))
+        words += more
+    return words, seams
+
+
 class TemplateIndex:
     """Prefix index over the templates under a global order of their words."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         self.rank = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in words_of(t.encode())}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates, self.prefix, self.shortest = [], {}, math.inf
+        self.reach = []
         for k, (label, text) in enumerate(templates):
             tokens = sorted({self.rank[w] for w in words_of(text.encode())})
             need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
             self.templates.append((label, tokens, frozenset(tokens), need))
             self.shortest = min(self.shortest, need)
+            self.reach.append(math.ceil(len(words_of(text.encode())) / threshold))
             for i, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(token, []).append((k, i))
         self.prefix_words = frozenset(w for w, r in self.rank.items() if r in self.prefix)
 
     def matches(self, block: frozenset[bytes]) -> list[tuple[str, float]]:
         """Label and containment of every template that the block meets."""
+        return [(self.templates[k][0], c) for k, c in self.met(block)]
+
+    def met(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
+        """Number and containment of every template that the block meets."""
         if len(block) < self.shortest or self.prefix_words.isdisjoint(block):
             return []
         known = sorted(self.rank[w] for w in block if w in self.rank)
@@ -105,14 +124,28 @@ class TemplateIndex:
                 if k in seen:
                     continue
                 seen.add(k)  # the first common token; later ones allow for less
-                label, tokens, members, need = self.templates[k]
+                _, tokens, members, need = self.templates[k]
                 if len(block) < need or 1 + min(len(tokens) - i - 1, len(known) - j - 1) < need:
                     continue
                 common = len(members.intersection(known))
                 if common >= need:
-                    out.append((label, common / len(tokens)))
+                    out.append((k, common / len(tokens)))
         return out
 
+    def found(self, raw: bytes) -> list[tuple[str, float]]:
+        """Label and containment of the templates met by the text's paragraphs, lines and seams of paragraphs."""
+        words, seams = seams_of(raw)
+        possible = self.met(frozenset(words))  # no block meets a template that the whole text doesn't meet
+        if not possible:
+            return []
+        out = {m for block in blocks_of(raw) for m in self.met(block)}
+        for k, _ in possible:
+            reach = self.reach[k]
+            for at in seams:
+                block = frozenset(words[max(0, at - reach) : at + reach])
+                out.update(m for m in self.met(block) if m[0] == k)
+        return [(self.templates[k][0], c) for k, c in out]
+
 
 def word_frequencies(docs: DataFrame, templates: list[tuple[str, str]], *, text_col: str = "text") -> dict[bytes, int]:
     """In how many blocks of the whole corpus each template word occurs (a few hundred words at most)."""
@@ -160,10 +193,10 @@ def scan(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", templa
 def scan_text(raw: bytes | None, index: TemplateIndex) -> tuple:
     words = words_of(raw)
     places = phrase_places(words)
-    met = [m for block in blocks_of(raw) for m in index.matches(block)] if words else []
+    met = index.found(raw) if words else []
     starts, base = [p for p, _ in places], {x for _, x in places}
     score = 1.0 if places else max((c for _, c in met), default=0.0)
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in met})), score
 
 
-__all__ = ["TEMPLATES", "TemplateIndex", "blocks_of", "phrase_places", "scan", "scan_text", "word_frequencies", "words_of"]
+__all__ = ["TEMPLATES", "TemplateIndex", "blocks_of", "phrase_places", "scan", "scan_text", "seams_of", "word_frequencies", "words_of"]

@@ -207,6 +207,26 @@ def test_license_join_equals_all_comparisons(tables):
     assert met >= len(licenses.TEMPLATES)
 
 
+PUBLISHED = {
+    "bsd": """Copyright (c) 2020, Someone\nAll rights reserved.\n
+Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n
+1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n
+2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n""",
+    "unlicense": """This is free and unencumbered software released into the public domain.\n
+Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n""",
+}
+
+
+@pytest.mark.parametrize("around", ["{}", "Some prose.\n\n{}\n\nMore of it.", "word " * 3000 + "\n\n{}\n\n" + "prose " * 3000])
+def test_license_across_blank_lines(around):
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.8)
+    for label, text in PUBLISHED.items():
+        for layout in (text, text.replace("\n", "\r\n")):
+            row = licenses.scan_text(around.format(layout).encode(), index)
+            assert row[5] == label and row[6] >= 0.8
+    assert licenses.scan_text(PUBLISHED["bsd"].split("\n\n")[1].encode(), index)[5:] == ("", 0.0)
+
+
 # -- 6 --------------------------------------------------------------------------------------------------------
 
 
