@@ -22,12 +22,20 @@ from quillon.llm.common import map_arrow
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE = frozenset("textarea title".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas svg math title param source".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas title param source".split())
+#: Parts of SVG and MathML that aren't rendered where they stand.
+HIDDEN_IN = {"svg": frozenset("title desc metadata defs symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+#: Elements of SVG that show their text; those of MathML whose parts stand apart; HTML within either.
+SVG_TEXT = frozenset("text foreignobject".split())
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtr".split())
+WITHIN = frozenset("foreignobject mi mo mn ms mtext".split())
+#: Start tags of HTML that end an SVG or MathML element.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Elements before which an open paragraph ends.
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt xmp".split())
 BLOCK = ENDS_P | frozenset("body html caption legend optgroup option tr".split())
 #: Blocks with blank lines around them.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr menu dir fieldset".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre xmp table figure hr menu dir fieldset".split())
 #: Open elements that a start tag ends, and those where the search for them stops.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -169,6 +177,7 @@ class Renderer:
                 continue
             tag, at = m.group().lower(), m.end()
             attrs: dict[str, str] = {}
+            closed = False
             if html[at : at + 1] == ">":
                 at += 1
             else:
@@ -182,18 +191,30 @@ class Renderer:
                 end = html.find(">", at)
                 if end < 0:
                     return
+                closed = end > at and html[end - 1] == "/"
                 at = end + 1
             if closing:
                 self._end(tag)
                 continue
+            foreign = self._foreign()
+            if foreign and tag in ENDS_FOREIGN:
+                while self._foreign():
+                    self._pop()
+                foreign = None
             self._start(tag, attrs)
+            if closed and (foreign or tag in ("svg", "math")):
+                if self.stack[-1].tag == tag:
+                    self._pop()
+                continue
             if tag in RAW or tag in ESCAPABLE:
                 lower = html.lower() if lower is None else lower
                 end = lower.find(f"</{tag}", at) if len(lower) == size else html.find(f"</{tag}", at)
                 body = html[at : end if end >= 0 else size]
                 if tag in ESCAPABLE:
                     self._text(body)
-                if tag == "title" and not self.title:
+                elif tag == "xmp" and not self.stack[-1].hidden and not self.stack[-1].mute:
+                    self.frames[-1].write(body, True)
+                if tag == "title" and not foreign and not self.title:
                     self.title = _SPACES.sub(" ", unescape(body)).strip()
                 at = size if end < 0 else end
                 if end < 0:
@@ -204,6 +225,27 @@ class Renderer:
     def _is_open(self, tag: str) -> bool:
         return self.open_count.get(tag, 0) > 0
 
+    def _foreign(self) -> str | None:
+        """The SVG or MathML element that the next tag belongs to."""
+        if not self._is_open("svg") and not self._is_open("math"):
+            return None
+        for node in reversed(self.stack):
+            if node.tag in ("svg", "math"):
+                return node.tag
+            if node.tag in WITHIN:
+                return None
+        return None
+
+    def _unpainted(self) -> bool:
+        """Whether text here stands in an SVG element outside its text elements."""
+        if self._is_open("svg"):
+            for node in reversed(self.stack):
+                if node.tag in SVG_TEXT:
+                    return False
+                if node.tag == "svg":
+                    return True
+        return False
+
     def _close_to(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
         """End the innermost open element of ``tags`` and all in it, unless one of ``stops`` is nearer."""
         if not any(self.open_count.get(t) for t in tags):
@@ -282,9 +324,14 @@ class Renderer:
         hidden = parent.hidden or tag in HIDDEN or "hidden" in attrs or bool(style and _NO_DISPLAY.search(style))
         if tag == "dialog" and "open" not in attrs or parent.tag == "details" and parent.extra is not None and tag != "summary":
             hidden = True
+        foreign = self._foreign()
+        if foreign and (tag in HIDDEN_IN[foreign] or attrs.get("display") == "none"):
+            hidden = True
+        if foreign == "svg" and "visibility" in attrs and not _VISIBILITY.search(style):
+            style = f"visibility:{attrs['visibility']}"
         seen = style and _VISIBILITY.search(style)
         mute = seen.group(1).lower() != "visible" if seen else parent.mute
-        node = _Node(tag, hidden, mute, parent.pre or tag in ("pre", "textarea", "listing"))
+        node = _Node(tag, hidden, mute, parent.pre or tag in ("pre", "textarea", "listing", "xmp"))
         if tag == "details" and "open" not in attrs:
             node.extra = "closed"
         if not hidden:
@@ -297,10 +344,13 @@ class Renderer:
                 if tag in ("ul", "ol", "menu", "dir"):
                     start = attrs.get("start", "1")
                     node.extra = [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]
-            elif tag in BLOCK:
+            elif tag in BLOCK or foreign == "svg" and tag in SVG_TEXT or foreign == "math" and tag == "mtr":
                 frame.brk(1)
             elif tag == "q":
                 self._write('"')
+            elif foreign == "math" and parent.tag in APART:
+                frame.space = frame.space or bool(parent.extra and frame.line)
+                parent.extra = True
         self.stack.append(node)
         self.open_count[tag] = self.open_count.get(tag, 0) + 1
 
@@ -336,7 +386,7 @@ class Renderer:
             if tag in SPACED:
                 nested = tag in ("ul", "ol", "menu", "dir") and any(self.open_count.get(t) for t in ("ul", "ol", "menu", "dir"))
                 frame.brk(1 if nested else 2)
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag in SVG_TEXT and self._is_open("svg") or tag == "mtr" and self._is_open("math"):
                 frame.brk(1)
             elif tag == "q":
                 self._write('"')
@@ -394,6 +444,8 @@ class Renderer:
             node = self.stack[-1]
         if node.hidden or node.mute or node.tag == "details" and node.extra is not None:
             return
+        if self._unpainted():
+            return
         if "&" in text:
             text = unescape(text)
         if node.tag in _TABLE_PARTS:

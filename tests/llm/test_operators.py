@@ -74,6 +74,25 @@ def test_html_edges_and_clashing_columns(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>so <math><mi>E</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so E=1 2 holds"),
+        ("a <math><semantics><mi>x</mi><annotation encoding=tex>gone</annotation></semantics></math> b", "a x b"),
+        ("<svg><title>gone</title><desc>gone</desc><defs><text>gone</text></defs>gone<g><text x='1'>first <tspan>label</tspan></text><text>second</text></g></svg>", "first label\nsecond"),
+        ("<svg><defs/><title/><style/><path d='M0'/><text>label</text><text display='none'>gone</text></svg><p>after", "label\n\nafter"),
+        ("<svg><foreignObject><p>inside</p></foreignObject></svg>", "inside"),
+        ("<svg><path d=x><p>out of it", "out of it"),
+        ("one<xmp>a  <b>&amp;</b>\n  c</xmp>two", "one\n\na  <b>&amp;</b>\n  c\n\ntwo"),
+        ("<div hidden><xmp>gone</xmp><svg><text>gone</text></svg><math><mi>gone</mi></math></div>x", "x"),
+        ("a<math/>b<svg/>c", "abc"),
+    ],
+)
+def test_html_math_svg_and_xmp_are_visible(html, want):
+    page = html_text.Renderer(html)
+    assert (page.title, page.text) == ("", want)
+
+
 # -- 2 --------------------------------------------------------------------------------------------------------
 
 
