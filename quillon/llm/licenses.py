@@ -2,7 +2,8 @@
 
 Blocks are paragraphs (separated by blank lines), single lines, and the words on either side of a blank line, as many as
 a template has and a margin, for templates whose layout holds blank lines; a block meets a template if it contains at
-least ``threshold`` of the template's distinct words.
+least ``threshold`` of the template's distinct words. Of templates that hold all words of another one (CC BY-NC and
+CC BY), a block must have the words that tell it apart, and the other one then counts only where it stands word for word.
 All tokens are put into one global order, rarest first (frequencies are counted over every block of the corpus), and:
 
 * prefix filter: with o = ceil(threshold * |T|) required words, a matching block holds one of the first |T| - o + 1
@@ -98,16 +99,21 @@ class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         self.rank = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in words_of(t.encode())}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates, self.prefix, self.shortest = [], {}, math.inf
-        self.reach = []
+        self.reach, self.phrases = [], []
         for k, (label, text) in enumerate(templates):
             tokens = sorted({self.rank[w] for w in words_of(text.encode())})
             need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
             self.templates.append((label, tokens, frozenset(tokens), need))
             self.shortest = min(self.shortest, need)
+            self.phrases.append(b" %s " % b" ".join(words_of(text.encode())))
             self.reach.append(math.ceil(len(words_of(text.encode())) / threshold))
             for i, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(token, []).append((k, i))
         self.prefix_words = frozenset(w for w, r in self.rank.items() if r in self.prefix)
+        # templates of another label that hold all words of one, and the words that only they have
+        self.parts = [[k for k, (other, _, m, _) in enumerate(self.templates) if other != label and m < members] for label, _, members, _ in self.templates]
+        name = {r: w for w, r in self.rank.items()}
+        self.own = [frozenset(name[r] for k in parts for r in members - self.templates[k][2]) for parts, (_, _, members, _) in zip(self.parts, self.templates, strict=True)]
 
     def matches(self, block: frozenset[bytes]) -> list[tuple[str, float]]:
         """Label and containment of every template that the block meets."""
@@ -132,18 +138,27 @@ class TemplateIndex:
                     out.append((k, common / len(tokens)))
         return out
 
+    def told_apart(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
+        """As ``met``, less templates whose own words the block lacks, then less those that are part of another one left."""
+        met = [(k, c) for k, c in self.met(block) if self.own[k] <= block]
+        held = {p for k, _ in met for p in self.parts[k]}
+        return [(k, c) for k, c in met if k not in held]
+
     def found(self, raw: bytes) -> list[tuple[str, float]]:
         """Label and containment of the templates met by the text's paragraphs, lines and seams of paragraphs."""
         words, seams = seams_of(raw)
         possible = self.met(frozenset(words))  # no block meets a template that the whole text doesn't meet
         if not possible:
             return []
-        out = {m for block in blocks_of(raw) for m in self.met(block)}
+        out = {m for block in blocks_of(raw) for m in self.told_apart(block)}
+        text = b" %s " % b" ".join(words)
         for k, _ in possible:
+            if self.phrases[k] in text:
+                out.add((k, 1.0))
             reach = self.reach[k]
             for at in seams:
                 block = frozenset(words[max(0, at - reach) : at + reach])
-                out.update(m for m in self.met(block) if m[0] == k)
+                out.update(m for m in self.told_apart(block) if m[0] == k)
         return [(self.templates[k][0], c) for k, c in out]
 
 

@@ -246,6 +246,21 @@ def test_license_across_blank_lines(around):
     assert licenses.scan_text(PUBLISHED["bsd"].split("\n\n")[1].encode(), index)[5:] == ("", 0.0)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+        ("Licensed under CC BY 4.0\n\nLicensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ],
+)
+def test_license_variants_are_told_apart(text, labels):
+    assert licenses.scan_text(text.encode(), licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.8))[5:] == (labels, 1.0)
+
+
 # -- 6 --------------------------------------------------------------------------------------------------------
 
 
