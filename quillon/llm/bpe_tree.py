@@ -1,7 +1,7 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is halved down to leaves, leaves are encoded on their own, and neighbours are joined up the tree. A join
-re-encodes a window around the seam and grows it until the tokens outside are proven not to change:
+Every text is halved down to leaves of a few pretokens, leaves are encoded on their own, and neighbours are joined up the
+tree. A join re-encodes a window around the seam and grows it until the tokens outside are proven not to change:
 
 * Between pretokens, a window may end wherever a character that is no white space is followed by white space. No
   alternative of the pretoken pattern goes from the one to the other, so every scan has a boundary there, whatever
@@ -9,7 +9,7 @@ re-encodes a window around the seam and grows it until the tokens outside are pr
 * Inside one long pretoken, a token list is the BPE encoding of its bytes exactly if every two neighbours encode to
   themselves. Both halves fulfil this, so a window is wide enough once the two pairs at its edges do.
 
-Decoding concatenates byte strings up a tree over the ids.
+Decoding looks up leaves of a few ids and concatenates byte strings up the tree.
 """
 
 from __future__ import annotations
@@ -27,17 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import map_arrow
+from quillon.llm.common import col, map_arrow
 
-#: Characters of a leaf; a longer text is halved.
-LEAF = 8192
-#: Bytes of a pretoken that is encoded in one go; a longer one is halved.
-PIECE_LEAF = 192
-#: Ids concatenated at a leaf of the decoding tree.
-DECODE_LEAF = 1 << 15
-
-#: A character that is no white space, before one that is. White space is Unicode's, as in the library.
-_EDGE = regex.compile(r"\P{White_Space}(?=\p{White_Space})")
+#: Characters of a leaf (some ten pretokens), bytes of a leaf inside one pretoken, and ids of a leaf of the decoding tree.
+LEAF, PIECE_LEAF, DECODE_LEAF = 64, 16, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,80 +45,77 @@ def little_endian(ids: array) -> bytes:
 
 
 class TreeBpe:
-    """Encoder and decoder for one vocabulary."""
+    """Encoder and decoder for one vocabulary. ``joins`` counts the joins of neighbours so far."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, piece_leaf: int = PIECE_LEAF):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, piece_leaf: int = PIECE_LEAF, decode_leaf: int = DECODE_LEAF):
         self._core = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.pattern, self.leaf, self.piece_leaf = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")), leaf, piece_leaf
-        self.ranks = ranks
+        # white space is Unicode's, as in the library
+        self.pattern, self.leaf, self.piece_leaf, self.decode_leaf = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")), leaf, piece_leaf, decode_leaf
+        self.ranks, self.joins = ranks, 0
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self._size_of = [len(x) for x in self.bytes_of]
         self._stable: dict[tuple[int, int], bool] = {}
 
     # -- encoding ---------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> array:
         """The ids of the text."""
-        return self._tree(text, 0, len(text))
-
-    def _leaf(self, text: str) -> array:
-        return array("I", self._core.encode_ordinary(text))
+        return array("I", self._tree(text, 0, len(text)))
 
-    def _tree(self, text: str, start: int, end: int) -> array:
+    def _tree(self, text: str, start: int, end: int) -> list[int]:
         if end - start <= self.leaf:
-            return self._leaf(text[start:end])
+            return self._core.encode_ordinary(text[start:end])
         middle = (start + end) // 2
-        left, right = self._tree(text, start, middle), self._tree(text, middle, end)
-        return self._join(text, start, middle, end, left, right)
-
-    def _join(self, text: str, start: int, middle: int, end: int, left: array, right: array) -> array:
-        """Join two neighbours by re-encoding text[a:b], the smallest window about the seam with provable edges."""
-        a = self._edge_before(text, start, middle)
-        b = self._edge_after(text, middle, end)
-        if a == b:  # the seam itself is an edge
-            return left + right
-        keep_left = len(left) - self._tokens_of(left, len(text[a:middle].encode()), from_end=True)
-        drop_right = self._tokens_of(right, len(text[middle:b].encode()), from_end=False)
-        return left[:keep_left] + self._window(text[a:b]) + right[drop_right:]
-
-    def _edge_before(self, text: str, start: int, at: int) -> int:
-        """The last position in [start, at] that is a boundary of every scan; the start is one in any case."""
-        width = 64
-        while True:
-            low = max(start, at - width)
-            found = None
-            # position p is an edge if text[p - 1] is no white space and text[p] is
-            for m in _EDGE.finditer(text, low, min(at + 1, len(text))):
-                if m.end() <= at:
-                    found = m.end()
-            if found is not None and found > start:
-                return found
-            if low == start:
-                return start
-            width *= 4
-
-    def _edge_after(self, text: str, at: int, end: int) -> int:
-        """The first position in [at, end] that is a boundary of every scan; the end is one in any case."""
-        m = _EDGE.search(text, max(at - 1, 0), end)
-        return m.end() if m and m.end() >= at else end
-
-    def _tokens_of(self, ids: array, size: int, from_end: bool) -> int:
+        a, b = self._edge_before(text, start, middle), self._edge_after(text, middle, end)
+        if a == start and b == end:  # no halves to keep: the tree goes on inside the pretokens
+            return self._window(text[start:end])
+        return self._join(text, a, middle, b, self._tree(text, start, middle), self._tree(text, middle, end))
+
+    def _join(self, text: str, a: int, middle: int, b: int, left: list[int], right: list[int]) -> list[int]:
+        """Join two neighbours by re-encoding text[a:b], a window about the seam with provable edges."""
+        self.joins += 1
+        if a < b:  # else the seam itself is an edge
+            del left[len(left) - self._tokens_of(left, len(text[a:middle].encode()), from_end=True) :]
+            left += self._window(text[a:b])
+            right = right[self._tokens_of(right, len(text[middle:b].encode()), from_end=False) :]
+        left += right
+        return left
+
+    # A space is looked for, as all but a few edges lie before one; any edge will do, and so will none.
+
+    @staticmethod
+    def _edge_before(text: str, start: int, at: int) -> int:
+        """The last position in [start, at] before a space that is a boundary of every scan; the start is one in any case."""
+        while (at := text.rfind(" ", start + 1, at + 1)) > 0 and text[at - 1].isspace():
+            at -= 1
+        return at if at > start else start
+
+    @staticmethod
+    def _edge_after(text: str, at: int, end: int) -> int:
+        """The first position in [at, end] before a space that is a boundary of every scan; the end is one in any case."""
+        at = max(at, 1)
+        while (at := text.find(" ", at, end)) > 0 and text[at - 1].isspace():
+            at += 1
+        return at if at > 0 else end
+
+    def _tokens_of(self, ids: list[int], size: int, from_end: bool) -> int:
         """How many tokens at one end make up ``size`` bytes; the position is a token boundary."""
-        n, seen, length = 0, 0, self.bytes_of
+        n, seen, length = 0, 0, self._size_of
         while seen < size:
-            seen += len(length[ids[-1 - n] if from_end else ids[n]])
+            seen += length[ids[-1 - n] if from_end else ids[n]]
             n += 1
         if seen != size:
             raise AssertionError("a window edge is no token boundary")
         return n
 
-    def _window(self, text: str) -> array:
+    def _window(self, text: str) -> list[int]:
         if len(text) <= self.leaf:
-            return self._leaf(text)
-        out = array("I")
+            return self._core.encode_ordinary(text)
+        out: list[int] = []
         for m in self.pattern.finditer(text):
-            out.extend(self._piece(m.group().encode()))
+            out += self._piece(m.group().encode())
         return out
 
     def _piece(self, piece: bytes) -> list[int]:
@@ -133,6 +123,7 @@ class TreeBpe:
         if len(piece) <= self.piece_leaf:
             return self._core.encode_single_piece(piece)
         middle = len(piece) // 2
+        self.joins += 1
         return self._join_tokens(self._piece(piece[:middle]), self._piece(piece[middle:]))
 
     def _join_tokens(self, left: list[int], right: list[int]) -> list[int]:
@@ -161,9 +152,9 @@ class TreeBpe:
     def decode(self, ids: list[int] | array | np.ndarray) -> bytes:
         """The bytes of the ids: leaves of ids are looked up, then neighbours are concatenated up the tree."""
         ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
-        parts = [self._core.decode_bytes(ids[i : i + DECODE_LEAF]) for i in range(0, len(ids), DECODE_LEAF)]
+        parts = [self._core.decode_bytes(ids[i : i + self.decode_leaf]) for i in range(0, len(ids), self.decode_leaf)]
         while len(parts) > 1:
-            parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+            parts = list(map(b"".join, zip(parts[::2], parts[1::2], strict=False))) + parts[len(parts) & ~1 :]
         return parts[0] if parts else b""
 
 
@@ -180,49 +171,56 @@ def encoder(path: str, pattern: str) -> TreeBpe:
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add the token ids of ``text_col`` as an array of INT; ``path`` is a file on every executor.
 
-    A null text counts as empty and has no ids; rows are independent, so repeated rows get equal ids. ``keep`` are
-    the columns to carry (all by default); one named like ``ids_col`` is replaced.
+    A null or empty text has no ids; rows are independent, so repeated rows get equal ids; an empty table gives an empty
+    result. ``keep`` are the columns to carry (all by default), whatever their names; one named like ``ids_col`` is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != ids_col.lower()]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    slim = docs.select(F.struct(F.lit(0).alias("-"), *[col(docs, c) for c in keep]).alias("row"), col(docs, text_col).alias("body"))
+    schema = T.StructType([slim.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        enc, texts = encoder(path, pattern), rows.pop("__text")
-        ids = [np.frombuffer(little_endian(enc.encode(t or "")), "<i4") for t in texts]
+        enc = encoder(path, pattern)
+        ids = [np.frombuffer(little_endian(enc.encode(t or "")), "<i4") for t in rows["body"]]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return rows | {ids_col: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))}
+        return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))}
 
-    return map_arrow(docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")), run, schema)
+    out = map_arrow(slim, run, schema, carry=["row"])
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("ids").alias(ids_col))
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Add the bytes of an array of ids; a null array stays null, an unknown id is an error. A column named like ``bytes_col`` is replaced."""
+    """Add the bytes of an array of ids; a null array stays null, no ids give no bytes, an unknown id is an error.
+
+    A column named like ``bytes_col`` is replaced; an empty table gives an empty result.
+    """
     keep = [c for c in df.columns if c.lower() != bytes_col.lower()]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(bytes_col, T.BinaryType())])
+    slim = df.select(F.struct(F.lit(0).alias("-"), *[col(df, c) for c in keep]).alias("row"), col(df, ids_col).alias("tokens"))
+    schema = T.StructType([slim.schema["row"], T.StructField("decoded", T.BinaryType())])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         enc = encoder(path, pattern)
-        return rows | {bytes_col: [None if x is None else enc.decode(x) for x in rows.pop("__ids")]}
-
-    return map_arrow(df.select(*[df[c] for c in keep], df[ids_col].alias("__ids")), run, schema)
-
+        return {"decoded": [None if x is None else enc.decode(x) for x in rows["tokens"]]}
 
-DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    out = map_arrow(slim, run, schema, carry=["row"])
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("decoded").alias(bytes_col))
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: number of tokens, SHA-256 of the ids and SHA-256 of the bytes that they decode to.
+def token_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", *, text_col: str = "text") -> DataFrame:
+    """Per document: key, number of tokens, SHA-256 of the ids and SHA-256 of the bytes that they decode to.
 
-    Encodes and decodes every whole text in one pass over the rows, without a shuffle; a null text is empty.
+    Encodes and decodes every whole text in one pass over the rows, without a shuffle; a null text is empty; an empty
+    table gives an empty result.
     """
+    slim = docs.select(col(docs, key).alias("k"), col(docs, text_col).alias("body"))
+    schema = T.StructType([slim.schema["k"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        enc, out = encoder(path, pattern), {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in rows["text"]:
+        enc, out = encoder(path, pattern), {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for text in rows["body"]:
             ids = enc.encode(text or "")
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(little_endian(ids)).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(enc.decode(ids)).hexdigest())
         return out
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, DIGEST)
+    return map_arrow(slim, run, schema, carry=["k"]).withColumnRenamed("k", key)

@@ -1,10 +1,12 @@
 """Language identification by prediction by partial matching (PPM).
 
 Per language a variable-order byte context tree with escape probabilities (method C: a context that has seen ``d``
-distinct bytes in ``n`` events escapes with d / (n + d)) is counted on a bounded sample and then frozen. With frozen
-statistics the probability of a byte depends only on the longest known context before it, so the trees of all
-languages are compiled into one automaton: its states are the contexts that any tree knows, each with a next state and
-a code length per language for every byte. A text's score is the exact sum of these code lengths over all its bytes.
+distinct bytes in ``n`` events escapes with d / (n + d), to its suffix without the bytes it has seen) is counted on a
+bounded sample and then frozen. With frozen statistics the probability of a byte depends only on the longest known
+context before it, so the trees of all languages are compiled into one automaton: its states are the contexts that were
+seen ``min_count`` times or more in all languages together. A byte that no tree has seen in a state costs what it costs
+in the suffix, and the escapes on the way there; so costs are kept for the bytes that were seen, and sums of escapes per
+state. A text's score is the exact sum of its bytes' code lengths, in double precision.
 
 The automaton's state depends on the last ``order`` bytes alone. Long inputs are therefore cut into strips that warm up
 on the ``order`` bytes before them, and all strips of a batch are advanced together by numpy.
@@ -12,7 +14,6 @@ on the ``order`` bytes before them, and all strips of a batch are advanced toget
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import has_letter, map_arrow
+from quillon.llm.common import col, has_letter, map_arrow
 
 STRIP = 256
+#: What is learned from: bytes of text in all, and ranges of hashes of a language, which are taken whole or not at all.
+MAX_BYTES, RANGES = 4_000_000, 4096
 
 
 def folded(text: str) -> bytes:
@@ -32,12 +35,20 @@ def folded(text: str) -> bytes:
 
 @dataclass
 class PpmModel:
-    """The compiled trees. ``step`` and ``cost`` are indexed by state * n_classes + class; state 0 is the empty context."""
+    """The compiled trees.
+
+    ``step``, ``entry`` and ``level`` are indexed by state * n_classes + class: the next state; whose row of ``bits``
+    holds the byte's cost in the longest suffix that a tree has seen it in; and how many escapes away that is. A row of
+    ``escapes`` is state * (order + 2) + level. State 0 is the empty context.
+    """
 
     langs: list[str]
     classes: np.ndarray
     step: np.ndarray
-    cost: np.ndarray
+    entry: np.ndarray
+    level: np.ndarray
+    bits: np.ndarray
+    escapes: np.ndarray
     n_classes: int
     order: int
 
@@ -60,16 +71,17 @@ class PpmModel:
         for back in range(self.order, 0, -1):
             warm = k > 0
             state[warm] = self.step[state[warm] * self.n_classes + data[begin[warm] - back]]
-        bits = np.zeros((len(owner), len(self.langs)), np.float64)
+        total = np.zeros((len(owner), len(self.langs)), np.float64)
         running = len(owner) - np.searchsorted(length[::-1], np.arange(1, STRIP + 1), side="left")
         for i in range(STRIP):
             n = running[i]
             if not n:
                 break
             at = state[:n] * self.n_classes + data[begin[:n] + i]
-            bits[:n] += self.cost[at]
-            state[:n] = self.step[at]
-        np.add.at(out, owner, bits)
+            total[:n] += self.bits.take(self.entry.take(at), axis=0)
+            total[:n] += self.escapes.take(state[:n] * (self.order + 2) + self.level.take(at), axis=0)
+            state[:n] = self.step.take(at)
+        np.add.at(out, owner, total)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -88,11 +100,9 @@ class PpmModel:
         return langs, scores
 
 
-def fit(sample: dict[str, list[bytes]], *, order: int = 4, min_count: int = 8, max_states: int = 6000) -> PpmModel:
-    """Count, prune and compile. Pruning is by total count over the languages, so what is kept holds every substring of it."""
+def fit(sample: dict[str, list[bytes]], *, order: int = 4, min_count: int = 16) -> PpmModel:
+    """Count and compile. A context that is kept has all its suffixes kept, as they are seen at least as often."""
     langs = sorted(sample)
-    if not langs:
-        return PpmModel([], np.zeros(256, np.int64), np.zeros(1, np.int64), np.zeros((1, 0)), 1, order)
     data = {g: b"\n".join(sample[g]) for g in langs}
     seen = np.zeros(256, bool)
     for g in langs:
@@ -100,9 +110,8 @@ def fit(sample: dict[str, list[bytes]], *, order: int = 4, min_count: int = 8, m
     # bytes that no tree has seen share class 0: every tree gives them the same probability
     classes = np.zeros(256, np.int64)
     classes[seen] = np.arange(1, seen.sum() + 1)
-    a = int(seen.sum()) + 1
-    unseen = 256 - int(seen.sum())
-    coded = {g: classes[np.frombuffer(data[g], np.uint8)] for g in langs}
+    a, unseen = int(seen.sum()) + 1, 256 - int(seen.sum())
+    coded = [classes[np.frombuffer(data[g], np.uint8)] for g in langs]
 
     def grams(x: np.ndarray, n: int) -> np.ndarray:
         code = np.zeros(max(len(x) - n + 1, 0), np.int64)
@@ -110,73 +119,93 @@ def fit(sample: dict[str, list[bytes]], *, order: int = 4, min_count: int = 8, m
             code = code * a + x[i : len(x) - n + 1 + i]
         return code
 
-    # contexts that occur often enough, by length; shorter first, then the most frequent
-    contexts: list[tuple[int, int]] = [(0, 0)]
+    # sorted codes of the contexts by length, and the number of the first one
+    contexts = [np.zeros(1, np.int64)]
     for n in range(1, order + 1):
-        code, count = np.unique(np.concatenate([grams(coded[g], n) for g in langs] or [np.zeros(0, np.int64)]), return_counts=True)
-        often = np.flatnonzero(count >= min_count)
-        often = often[np.argsort(-count[often], kind="stable")][: max(0, max_states - len(contexts))]
-        contexts += [(n, int(c)) for c in np.sort(code[often])]
-    index = {c: i for i, c in enumerate(contexts)}
-    counts = np.zeros((len(langs), len(contexts), a), np.float64)
-    for i, g in enumerate(langs):
-        for n in range(order + 1):
-            code, count = np.unique(grams(coded[g], n + 1), return_counts=True)
-            at = np.array([index.get((n, int(c)), -1) for c in code // a], np.int64)
-            np.add.at(counts[i], (at[at >= 0], (code % a)[at >= 0]), count[at >= 0])
-    step = np.zeros((len(contexts), a), np.int64)
-    cost = np.zeros((len(contexts), a, len(langs)), np.float32)
-    # order -1: all 256 bytes alike; class 0 stands for one of the unseen bytes
-    base = np.full(a, 1 / 256)
+        code, count = np.unique(np.concatenate([np.zeros(0, np.int64), *[grams(x, n) for x in coded]]), return_counts=True)
+        contexts.append(code[count >= min_count])
+    first = np.cumsum([0, *map(len, contexts)])
+    states = int(first[-1])
+
+    def number(n: int, code: np.ndarray) -> np.ndarray:
+        """The states of contexts of a length, -1 if unknown."""
+        if not len(contexts[n]):
+            return np.full(len(code), -1)
+        at = np.minimum(np.searchsorted(contexts[n], code), len(contexts[n]) - 1)
+        return np.where(contexts[n][at] == code, first[n] + at, -1)
+
+    step, entry, level = np.zeros((states, a), np.int32), np.zeros((states, a), np.int32), np.zeros((states, a), np.int8)
+    escapes, bits = np.zeros((states, order + 2, len(langs))), [np.full((1, len(langs)), 8.0)]  # row 0: order -1, all 256 bytes alike
     weight = np.ones(a)
     weight[0] = unseen
-    probability = np.zeros((len(langs), len(contexts), a))
-    for s, (n, code) in enumerate(contexts):
-        parent = index[_suffix(n, code, a)] if n else None
-        for i in range(len(langs)):
-            below = base if parent is None else probability[i, parent]
-            c = counts[i, s]
-            total, had = c.sum(), c > 0
-            distinct = int(had.sum())
-            if not total:
-                probability[i, s] = below
-                continue
-            rest = (below * weight)[~had].sum()  # exclusion: what this context has seen can't follow an escape
-            escape = distinct / (total + distinct) if rest > 0 else 0.0
-            probability[i, s] = np.where(had, c / (total + (distinct if rest > 0 else 0)), escape * below / max(rest, 1e-300))
-        for c in range(a):
-            m, longer = n + 1, code * a + c
-            while (m, longer) not in index:
-                m, longer = _suffix(m, longer, a)
-            step[s, c] = index[m, longer]
-    cost[:] = np.moveaxis(-np.log2(np.maximum(probability, 1e-300)), 0, -1)
-    return PpmModel(langs, classes, step.reshape(-1), cost.reshape(-1, len(langs)), a, order)
-
-
-def _suffix(n: int, code: int, a: int) -> tuple[int, int]:
-    """The context without its oldest byte."""
-    return n - 1, code % a ** (n - 1)
-
-
-def training_sample(labelled: DataFrame, *, text_col: str, lang_col: str, key_col: str, max_bytes: int) -> dict[str, list[bytes]]:
-    """About ``max_bytes`` of labelled texts at most, spread evenly over the languages: a sample by a hash of the key.
-
-    Texts over max_bytes / 64 aren't learned from, so that the bound holds. The counts it needs are over all rows.
+    below = {-1: np.full((1, a, len(langs)), 1 / 256)}
+    rows = 1
+    for n in range(order + 1):
+        m, here = len(contexts[n]), slice(first[n], first[n + 1])
+        parent = number(n - 1, contexts[n] % a ** (n - 1)) if n else None
+        counts = np.zeros((m, a, len(langs)))
+        for i, x in enumerate(coded):
+            code, count = np.unique(grams(x, n + 1), return_counts=True)
+            at = number(n, code // a) - first[n]
+            known = (at >= 0) & (code // a >= 0)
+            counts[at[known], (code % a)[known], i] = count[known]
+        up = below[n - 1][parent - first[n - 1]] if n else below[-1]
+        total, had = counts.sum(axis=1, keepdims=True), counts > 0
+        distinct = had.sum(axis=1, keepdims=True)
+        rest = (up * weight[None, :, None] * ~had).sum(axis=1, keepdims=True)  # exclusion: what a context has seen can't follow an escape
+        some = (total > 0) & (rest > 1e-12)
+        # the escape spreads over the rest; a tree without this context goes on in the suffix for nothing
+        factor = np.where(some, distinct / np.maximum(total + distinct, 1) / np.maximum(rest, 1e-300), np.where(total > 0, 1e-300, 1.0))
+        p = np.where(had, counts / np.maximum(total + np.where(some, distinct, 0), 1), factor * up)
+        below[n] = p
+        own = had.any(axis=2)
+        numbered = np.cumsum(own.ravel()).reshape(own.shape) + rows - 1
+        bits.append(-np.log2(np.maximum(p[own], 1e-300)))
+        rows += int(own.sum())
+        if n:
+            entry[here], level[here] = np.where(own, numbered, entry[parent]), np.where(own, 0, level[parent] + 1)
+            escapes[here, 1:] = -np.log2(np.maximum(factor, 1e-300)) + escapes[parent, :-1]
+        else:
+            entry[here], level[here] = np.where(own, numbered, 0), np.where(own, 0, 1)
+            escapes[here, 1:] = -np.log2(np.maximum(factor, 1e-300))
+        longer = number(n + 1, (contexts[n][:, None] * a + np.arange(a)).ravel()).reshape(m, a) if n < order else np.full((m, a), -1)
+        step[here] = np.where(longer >= 0, longer, step[parent] if n else 0)
+    # where a context is as long as may be, its last byte's step is its suffix's
+    return PpmModel(langs, classes, step.ravel(), entry.ravel(), level.ravel(), np.concatenate(bits), escapes.reshape(-1, len(langs)), a, order)
+
+
+def training_sample(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_bytes: int = MAX_BYTES) -> dict[str, list[bytes]]:
+    """Distinct labelled texts by language, ``max_bytes`` of UTF-8 at most, spread evenly over the languages.
+
+    Rows are sampled by a hash of their text: the hashes of a language fall into RANGES, and those ranges are taken, in
+    order, that its share still has room for; so the bound holds whatever the rows are, and repeated texts count once. Of
+    a text over max_bytes / 256 characters, a slice of that many at a place that its hash gives is learned from, so that
+    no language is left out for its texts' length. Null texts and languages and empty texts are no part of it; an empty
+    table gives no language.
     """
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("g"), F.col(key_col).cast("string").alias("k")).filter("t is not null and g is not null")
-    rows = rows.withColumn("n", F.octet_length("t")).filter(F.col("n").between(1, max(1, max_bytes // 64)))
-    totals = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
+    most = max(1, max_bytes // 256)
+    rows = labelled.select(col(labelled, text_col).alias("t"), col(labelled, lang_col).alias("g")).filter("t is not null and g is not null and t != ''")
+    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("r", F.shiftrightunsigned("h", 52).cast("int"))
+    # a range that holds one text, however often, has that text's size
+    size = F.when(F.min("h") == F.max("h"), F.max("n")).otherwise(F.sum("n"))
+    ranges = rows.withColumn("n", F.least(F.octet_length("t"), F.lit(4 * most))).groupBy("g", "r").agg(size.cast("long").alias("n")).collect()
+    langs = sorted({x["g"] for x in ranges})
+    if not langs:
+        return {}
+    left, picked = dict.fromkeys(langs, max(1, max_bytes // len(langs))), []
+    for x in sorted(ranges, key=lambda x: (x["g"], x["r"])):
+        if x["n"] <= left[x["g"]]:
+            left[x["g"]] -= x["n"]
+            picked.append((x["g"], x["r"]))
+    if not picked:
         return {}
-    share = {g: min(1.0, max_bytes / len(totals) / n) for g, n in totals.items()}
-    # the threshold on a 53-bit hash; a language with little text is taken whole
-    pick = F.lit(False)
-    for g, p in share.items():
-        pick = pick | ((F.col("g") == g) & (F.shiftrightunsigned(F.xxhash64("k"), 11) < F.lit(int(p * (1 << 53)))))
-    out: dict[str, list[bytes]] = {g: [] for g in totals}
-    for g, _, t in sorted((r["g"], hashlib.sha1(r["t"].encode()).hexdigest(), folded(r["t"])) for r in rows.filter(pick).collect()):
-        out[g].append(t)
-    return {g: x for g, x in out.items() if x}
+    chosen = F.broadcast(labelled.sparkSession.createDataFrame(picked, "g string, r int"))  # RANGES rows a language at most
+    start = F.pmod("h", F.greatest(F.length("t") - most, F.lit(0)) + 1).cast("int") + 1
+    texts = rows.join(chosen, ["g", "r"]).select("g", F.substring("t", start, F.lit(most)).alias("t")).distinct()
+    out: dict[str, list[bytes]] = {}
+    for x in sorted(map(tuple, texts.collect())):
+        out.setdefault(x[0], []).append(folded(x[1]))
+    return out
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -185,13 +214,17 @@ PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFi
 def identify(docs: DataFrame, model: PpmModel, *, text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """The columns ``keep``, lang_pred and score of every row.
 
-    A null text, one without a letter, or a model without languages gives ``und`` with score 0. Only the text counts.
+    A null text, one without a letter, or a model without languages gives ``und`` with score 0. Only the text counts, and
+    all of it; repeated rows get equal results; an empty table gives an empty one. Columns of ``keep`` named like the
+    results are replaced.
     """
+    keep = [c for c in keep if c.lower() not in PREDICTED.names]
+    slim = docs.select(F.struct(F.lit(0).alias("-"), *[col(docs, c) for c in keep]).alias("row"), col(docs, text_col).alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[c] for c in keep] + PREDICTED.fields)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        langs, scores = shared.value.predict(rows.pop("__text"))
-        return rows | {"lang_pred": langs, "score": scores}
+        langs, scores = shared.value.predict(rows["body"])
+        return {"lang_pred": langs, "score": scores}
 
-    return map_arrow(docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")), run, schema)
+    out = map_arrow(slim, run, T.StructType([slim.schema["row"], *PREDICTED.fields]), carry=["row"])
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], *PREDICTED.names)

@@ -1,18 +1,21 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are paragraphs (separated by blank lines), single lines, and the words on either side of a blank line, as many as
-a template has and a margin, for templates whose layout holds blank lines; a block meets a template if it contains at
-least ``threshold`` of the template's distinct words. Of templates that hold all words of another one (CC BY-NC and
-CC BY), a block must have the words that tell it apart, and the other one then counts only where it stands word for word.
-All tokens are put into one global order, rarest first (frequencies are counted over every block of the corpus), and:
-
-* prefix filter: with o = ceil(threshold * |T|) required words, a matching block holds one of the first |T| - o + 1
-  tokens of the template in that order, so an index over these prefixes finds every candidate;
-* length filter: a block with fewer than o distinct words can't match;
-* positional filter: after a first common token at position i of the template and j of the block's known words, at most
+The blocks are all windows of consecutive words, as long as a template at the threshold: n / threshold words for a template
+of n words, so layout, blank lines and comment marks don't matter. A block meets a template if it holds at least
+``threshold`` of the template's distinct words (all of them for templates of fewer than SHORT, which chance would meet
+too often). Of templates that hold all words of another label's one (CC BY-NC and CC BY), a block must have the words
+that tell it apart, and a block of the other one none of them, so labels of variants exclude each other.
+
+All words of templates are put into one global order, rarest first (frequencies are counted over every text), and:
+
+* prefix filter: with o required words, a matching block, and so its text, holds one of the first |T| - o + 1 words of the
+  template in that order, so an index over these prefixes finds every candidate;
+* length filter: a text with fewer than o distinct words can't match;
+* positional filter: after a first common word at position i of the template and j of the text's known words, at most
   1 + min(|T| - i - 1, m - j - 1) words can be common, and less than o rules the pair out;
 
-what remains is verified exactly. The templates are few and fixed, so they and the order of their words are broadcast.
+what remains is verified exactly, by a window that slides over the places of the template's words. The templates are few
+and fixed, so they and the order of their words are broadcast.
 """
 
 from __future__ import annotations
@@ -20,16 +23,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import map_arrow
+from quillon.llm.common import col, map_arrow
 
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BLANK = re.compile(rb"\n[ \t\r\x0b\x0c]*\n")
+
+THRESHOLD = 0.8
+#: Templates of fewer distinct words have to be met in full.
+SHORT = 10
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -56,15 +61,6 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return _WORDS.findall(raw.lower()) if raw else []
 
 
-def blocks_of(raw: bytes) -> Iterable[frozenset[bytes]]:
-    """The distinct words of every paragraph and of every line of a paragraph with several."""
-    for paragraph in _BLANK.split(raw.lower()):
-        lines = [frozenset(_WORDS.findall(x)) for x in paragraph.split(b"\n")]
-        if len(lines) > 1:
-            yield from lines
-        yield frozenset().union(*lines)
-
-
 def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list[tuple[int, str]]:
     """Start and label of every place where a phrase's words stand consecutively."""
     out = []
@@ -81,100 +77,87 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
     return out
 
 
-def seams_of(raw: bytes) -> tuple[list[bytes], list[int]]:
-    """The words of a text in order, and the numbers of those that a paragraph other than the first begins with."""
-    words: list[bytes] = []
-    seams: list[int] = []
-    for paragraph in _BLANK.split(raw.lower()):
-        more = _WORDS.findall(paragraph)
-        if more and words:
-            seams.append(len(words))
-        words += more
-    return words, seams
-
-
 class TemplateIndex:
     """Prefix index over the templates under a global order of their words."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
-        self.rank = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in words_of(t.encode())}, key=lambda w: (frequency.get(w, 0), w)))}
-        self.templates, self.prefix, self.shortest = [], {}, math.inf
-        self.reach, self.phrases = [], []
-        for k, (label, text) in enumerate(templates):
-            tokens = sorted({self.rank[w] for w in words_of(text.encode())})
-            need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
-            self.templates.append((label, tokens, frozenset(tokens), need))
-            self.shortest = min(self.shortest, need)
-            self.phrases.append(b" %s " % b" ".join(words_of(text.encode())))
-            self.reach.append(math.ceil(len(words_of(text.encode())) / threshold))
-            for i, token in enumerate(tokens[: len(tokens) - need + 1]):
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float = THRESHOLD):
+        lists = [words_of(text.encode()) for _, text in templates]
+        self.labels, self.members = [label for label, _ in templates], [frozenset(x) for x in lists]
+        self.rank = {w: i for i, w in enumerate(sorted(frozenset().union(*self.members), key=lambda w: (frequency.get(w, 0), w)))}
+        shares = [1.0 if len(m) < SHORT else threshold for m in self.members]
+        self.need = [max(1, math.ceil(t * len(m) - 1e-9)) for t, m in zip(shares, self.members, strict=True)]
+        #: Words of a block.
+        self.width = [math.ceil(len(x) / t - 1e-9) for t, x in zip(shares, lists, strict=True)]
+        parts = [[j for j, n in enumerate(self.members) if n < m and self.labels[j] != label] for label, m in zip(self.labels, self.members, strict=True)]
+        #: Words that a block must hold, and that it may not.
+        self.own = [frozenset().union(*[m - self.members[j] for j in p]) for m, p in zip(self.members, parts, strict=True)]
+        self.others = [frozenset().union(*[self.members[k] - m for k, p in enumerate(parts) if j in p]) for j, m in enumerate(self.members)]
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        for k, m in enumerate(self.members):
+            for i, token in enumerate(sorted(self.rank[w] for w in m)[: len(m) - self.need[k] + 1]):
                 self.prefix.setdefault(token, []).append((k, i))
-        self.prefix_words = frozenset(w for w, r in self.rank.items() if r in self.prefix)
-        # templates of another label that hold all words of one, and the words that only they have
-        self.parts = [[k for k, (other, _, m, _) in enumerate(self.templates) if other != label and m < members] for label, _, members, _ in self.templates]
-        name = {r: w for w, r in self.rank.items()}
-        self.own = [frozenset(name[r] for k in parts for r in members - self.templates[k][2]) for parts, (_, _, members, _) in zip(self.parts, self.templates, strict=True)]
-
-    def matches(self, block: frozenset[bytes]) -> list[tuple[str, float]]:
-        """Label and containment of every template that the block meets."""
-        return [(self.templates[k][0], c) for k, c in self.met(block)]
-
-    def met(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
-        """Number and containment of every template that the block meets."""
-        if len(block) < self.shortest or self.prefix_words.isdisjoint(block):
+        self.prefix_words, self.shortest = frozenset(w for w, r in self.rank.items() if r in self.prefix), min(self.need, default=0)
+
+    def candidates(self, distinct: frozenset[bytes]) -> list[int]:
+        """The templates of which a text with these words holds as many as a block needs."""
+        if len(distinct) < self.shortest or self.prefix_words.isdisjoint(distinct):
             return []
-        known = sorted(self.rank[w] for w in block if w in self.rank)
+        known = sorted(self.rank[w] for w in distinct if w in self.rank)
         seen, out = set(), []
         for j, token in enumerate(known):
             for k, i in self.prefix.get(token, ()):
                 if k in seen:
                     continue
-                seen.add(k)  # the first common token; later ones allow for less
-                _, tokens, members, need = self.templates[k]
-                if len(block) < need or 1 + min(len(tokens) - i - 1, len(known) - j - 1) < need:
-                    continue
-                common = len(members.intersection(known))
-                if common >= need:
-                    out.append((k, common / len(tokens)))
+                seen.add(k)  # the first common word; later ones allow for less
+                need, size = self.need[k], len(self.members[k])
+                if len(distinct) >= need and 1 + min(size - i - 1, len(known) - j - 1) >= need and len(self.members[k] & distinct) >= need:
+                    out.append(k)
         return out
 
-    def told_apart(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
-        """As ``met``, less templates whose own words the block lacks, then less those that are part of another one left."""
-        met = [(k, c) for k, c in self.met(block) if self.own[k] <= block]
-        held = {p for k, _ in met for p in self.parts[k]}
-        return [(k, c) for k, c in met if k not in held]
-
-    def found(self, raw: bytes) -> list[tuple[str, float]]:
-        """Label and containment of the templates met by the text's paragraphs, lines and seams of paragraphs."""
-        words, seams = seams_of(raw)
-        possible = self.met(frozenset(words))  # no block meets a template that the whole text doesn't meet
-        if not possible:
-            return []
-        out = {m for block in blocks_of(raw) for m in self.told_apart(block)}
-        text = b" %s " % b" ".join(words)
-        for k, _ in possible:
-            if self.phrases[k] in text:
-                out.add((k, 1.0))
-            reach = self.reach[k]
-            for at in seams:
-                block = frozenset(words[max(0, at - reach) : at + reach])
-                out.update(m for m in self.told_apart(block) if m[0] == k)
-        return [(self.templates[k][0], c) for k, c in out]
+    def best(self, k: int, words: list[bytes]) -> float:
+        """The largest share of template ``k`` that a block which meets it holds; 0 if none does."""
+        members, own, others, width = self.members[k], self.own[k], self.others[k], self.width[k]
+        held: Counter = Counter()
+        inside: list[tuple[int, bytes]] = []
+        most, first = 0, 0
+        for at, word in ((i, w) for i, w in enumerate(words) if w in members or w in others):
+            if word in others:  # no block reaches over it
+                held.clear()
+                inside, first = [], 0
+                continue
+            inside.append((at, word))
+            held[word] += 1
+            while inside[first][0] <= at - width:
+                gone = inside[first][1]
+                first += 1
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+            if len(held) > most and len(held) >= self.need[k] and own <= held.keys():
+                most = len(held)
+        return most / len(members) if most else 0.0
+
+    def found(self, words: list[bytes]) -> dict[str, float]:
+        """Label and largest share of the templates that blocks of the text meet."""
+        out: dict[str, float] = {}
+        for k in self.candidates(frozenset(words)):
+            if share := self.best(k, words):
+                out[self.labels[k]] = max(share, out.get(self.labels[k], 0.0))
+        return out
 
 
 def word_frequencies(docs: DataFrame, templates: list[tuple[str, str]], *, text_col: str = "text") -> dict[bytes, int]:
-    """In how many blocks of the whole corpus each template word occurs (a few hundred words at most)."""
+    """In how many texts of the whole corpus each template word occurs (a few hundred words at most)."""
     wanted = frozenset(w for _, t in templates for w in words_of(t.encode()))
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         found: Counter = Counter()
         for raw in rows["t"]:
-            for block in blocks_of(raw or b""):
-                found.update(wanted & block)
+            found.update(wanted.intersection(words_of(raw)))
         return {"word": list(found), "n": list(found.values())}
 
-    counts = map_arrow(docs.select(docs[text_col].cast("binary").alias("t")), run, schema)
+    counts = map_arrow(docs.select(col(docs, text_col).cast("binary").alias("t")), run, schema)
     return {bytes(r["word"]): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -185,33 +168,28 @@ SCANNED = T.StructType(
 )
 
 
-def scan(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: the key, phrase places and labels, the labels of all templates met, and a score.
 
-    The score is 1 with a phrase, else the largest containment found, else 0. A null or empty text has no words; labels
-    without a member are empty strings; equal rows get equal results.
+    The score is 1 with a phrase, else the largest share of a template that a block holds, else 0. A null or empty text
+    has no words; labels without a member are empty strings; equal rows get equal results; an empty table gives an empty
+    one. The key may have any name but that of a result.
     """
+    if key.lower() in SCANNED.names:
+        raise ValueError(f"the key {key} has the name of a result")
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates, word_frequencies(docs, templates, text_col=text_col), threshold))
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *SCANNED.fields])
+    slim = docs.select(col(docs, key).alias("k"), col(docs, text_col).cast("binary").alias("body"))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {f.name: [] for f in schema}
-        out[key] = rows["__key"]
-        for raw in rows["__text"]:
-            for name, value in zip(SCANNED.names, scan_text(raw, index.value), strict=True):
-                out[name].append(value)
-        return out
+        found = [scan_text(raw, index.value) for raw in rows["body"]]
+        return {name: [x[i] for x in found] for i, name in enumerate(SCANNED.names)}
 
-    return map_arrow(docs.select(docs[key].alias("__key"), docs[text_col].cast("binary").alias("__text")), run, schema)
+    return map_arrow(slim, run, T.StructType([slim.schema["k"], *SCANNED.fields]), carry=["k"]).withColumnRenamed("k", key)
 
 
 def scan_text(raw: bytes | None, index: TemplateIndex) -> tuple:
     words = words_of(raw)
-    places = phrase_places(words)
-    met = index.found(raw) if words else []
+    places, met = phrase_places(words), index.found(words)
     starts, base = [p for p, _ in places], {x for _, x in places}
-    score = 1.0 if places else max((c for _, c in met), default=0.0)
-    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in met})), score
-
-
-__all__ = ["TEMPLATES", "TemplateIndex", "blocks_of", "phrase_places", "scan", "scan_text", "seams_of", "word_frequencies", "words_of"]
+    score = 1.0 if places else max(met.values(), default=0.0)
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | met.keys())), score

@@ -7,29 +7,32 @@ so the sources' totals come out exactly while every shard is a random mix. A sou
 pseudorandom permutations of its block numbers (a Feistel network with cycle walking, one key per pass over the source),
 and blocks are joined to slots by source and block number. The last slot of a source is cut where its target is reached.
 
-Offsets are sums over small buckets first and over buckets next, so no source is gathered in one task. What the driver
-holds is one line per source and a draw per shard and source (4096 shards at most).
+Rows that agree in key, source and text are one unit that comes several times, counted before anything is moved. Offsets
+are sums over small ranges of hashes first and over ranges next, so no source and no key is gathered in one task. What the
+driver holds is one line per source and a draw per shard and source (MOST_SHARDS shards at most, larger ones beyond that).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quillon.llm.common import map_arrow, settle
+from quillon.llm.common import col, map_arrow, nested, row_hash, small_side, stored
 
 BLOCK, REPEAT, SHARD_SLOTS, MOST_SHARDS = 64, 3, 4096, 4096
-#: Rows of a bucket, and buckets of a source at most (then buckets grow).
-BUCKET_ROWS, MOST_BUCKETS = 64, 1 << 16
+#: Rows of a range of hashes, on average; ranges, as a power of two, that are summed up together; and copies of a unit.
+RANGE_ROWS, RANGE_BITS, MOST_COPIES = 64, 12, 1024
 _MASK = (1 << 64) - 1
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+WORD = r"[^\x20\x09-\x0D]+"
+_WORD = re.compile(WORD.encode())
 
 
 @dataclass(frozen=True)
@@ -134,16 +137,6 @@ def targets(sizes: list[int], weights: list[float], repeat: int = REPEAT) -> lis
         capped.update(over)
 
 
-def word_counts(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` and ``__size``, the number of words of every whole text (null: 0)."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__size", T.LongType())])
-
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        return rows | {"__size": [len(x.split()) if x else 0 for x in rows.pop("__text")]}
-
-    return map_arrow(docs.select(*[docs[c] for c in keep], docs[text_col].cast("binary").alias("__text")), run, schema)
-
-
 def plan(totals: list[tuple[str | None, int, int]], weights: list[float] | None = None, *, block: int = BLOCK, seed: int = 0) -> list[Source]:
     """The sources, by name in code points (null last), with their targets. ``totals``: name, rows, words."""
     ordered = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
@@ -172,22 +165,47 @@ def draws(sources: list[Source], seed: int = 0) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "number", "n", "first"]).astype("int64")
 
 
+def _identity(key: Column, source: Column, text: Column) -> Column:
+    """Two hashes that stand for a unit: key, source and text, nulls told from what is there."""
+    parts = [y for x in (key, source, text) for y in (x.isNull(), x)]
+    return F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit(1), *parts).alias("y"))
+
+
+def units(docs: DataFrame, key: str, text_col: str, source_col: str) -> DataFrame:
+    """Rows (id, part, k, source, size, m): what agrees in key, source and text, how many words it has and how often it comes.
+
+    A unit that comes more than MOST_COPIES times has several parts.
+    """
+    k, source, text = col(docs, key), col(docs, source_col), col(docs, text_col)
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(_identity(k, source, text).alias("id"), k.alias("k"), source.alias("source"), size.alias("size"))
+    counted = rows.groupBy("id", "k", "source", "size").agg(F.count(F.lit(1)).alias("all"))
+    parts = counted.withColumn("part", F.explode(F.expr(f"sequence(0, (all - 1) div {MOST_COPIES})")))
+    return parts.withColumn("m", F.least(F.col("all") - F.col("part") * MOST_COPIES, F.lit(MOST_COPIES))).drop("all")
+
+
+def _lines(spark, sources: list[Source]) -> DataFrame:
+    """A line per source, for joins: name, number, words, target and how many bits of a hash tell its ranges."""
+    lines = [(s.name, s.number, s.size, s.target, max(1, math.ceil(math.log2(max(s.rows, 1) / RANGE_ROWS)) if s.rows > RANGE_ROWS else 1)) for s in sources]
+    return small_side(spark.createDataFrame(lines, "name string, number long, source_size long, target double, bits int"))
+
+
 def offsets(rows: DataFrame, sources: list[Source]) -> DataFrame:
-    """Rows (with __source, __size) with at least a word, with ``__number`` and ``__start``, their place in their source.
+    """The units with at least a word, with ``number`` and ``start``, their place in their source.
 
-    The order is by a bucket of a hash and in it by hash and key, so that no source is ordered in one task.
+    The order is by a hash. Sums go up over two levels of its ranges, so that no source is ordered in one task.
     """
-    spark = rows.sparkSession
-    schema = "__name string, __number long, __buckets long"
-    lines = spark.createDataFrame([(s.name, s.number, min(MOST_BUCKETS, -(-s.rows // BUCKET_ROWS))) for s in sources], schema)
-    # one line per source, which the driver holds anyway
-    numbered = rows.filter("__size > 0").join(F.broadcast(lines), F.col("__source").eqNullSafe(F.col("__name"))).drop("__name")
-    hashed = numbered.withColumn("__hash", F.xxhash64(F.col("__key").cast("string"), F.lit("order"))).withColumn("__bucket", F.pmod("__hash", "__buckets"))
-    sums = hashed.groupBy("__number", "__bucket").agg(F.sum("__size").alias("s"))
-    before = sums.select("__number", "__bucket", (F.sum("s").over(W.partitionBy("__number").orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).alias("__before"))
-    by = W.partitionBy("__number", "__bucket").orderBy("__hash", "__key", "__size").rowsBetween(W.unboundedPreceding, 0)
-    inside = hashed.withColumn("__inside", F.sum("__size").over(by) - F.col("__size"))
-    return inside.join(before, ["__number", "__bucket"]).withColumn("__start", F.col("__before") + F.col("__inside")).drop("__buckets", "__hash", "__bucket", "__before", "__inside")
+    numbered = rows.filter("size > 0").join(_lines(rows.sparkSession, sources), F.col("source").eqNullSafe(F.col("name"))).select("id", "part", "size", "m", "number", "bits")
+    hashed = numbered.withColumn("h", F.xxhash64("id", "part", F.lit("order"))).withColumn("low", F.expr("shiftrightunsigned(h, 64 - bits)")).withColumn("high", F.shiftrightunsigned("low", RANGE_BITS))
+    words = F.col("size") * F.col("m")
+    low = hashed.groupBy("number", "high", "low").agg(F.sum(words).alias("s"))
+    high = low.groupBy("number", "high").agg(F.sum("s").alias("s"))
+    before = lambda df, part, order: (F.sum("s").over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).alias
+    high = high.select("number", "high", before(high, ["number"], "high")("above"))
+    low = low.select("number", "high", "low", before(low, ["number", "high"], "low")("before"))
+    first = low.join(high, ["number", "high"]).select("number", "low", (F.col("before") + F.col("above")).alias("before"))
+    inside = F.sum(words).over(W.partitionBy("number", "low").orderBy("h", "id", "part").rowsBetween(W.unboundedPreceding, 0)) - words
+    return hashed.withColumn("inside", inside).join(first, ["number", "low"]).select("id", "part", "size", "m", "number", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def slots(spark, sources: list[Source], seed: int = 0) -> DataFrame:
@@ -213,53 +231,49 @@ def slots(spark, sources: list[Source], seed: int = 0) -> DataFrame:
 
 
 def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The packed blocks: a row for each block that a document has words in, with the block's range of its words."""
-    cut = F.explode(F.expr(f"sequence(__start div {block}, (__start + __size - 1) div {block})")).alias("block")
-    rows = placed.select("__key", F.col("__number").alias("number"), "__start", "__size", cut)
-    low, high = F.greatest(F.col("block") * block, F.col("__start")), F.least((F.col("block") + 1) * block, F.col("__start") + F.col("__size"))
-    return rows.select("__key", "number", "__start", "__size", "block", (low - F.col("__start")).alias("low"), (high - F.col("__start")).alias("high"), (low - F.col("block") * block).alias("at"))
+    """The packed blocks: a row for each block that a unit has words in, with the block's range of the unit's words."""
+    cut = F.explode(F.expr(f"sequence(start div {block}, (start + size * m - 1) div {block})")).alias("block")
+    rows = placed.select("id", "part", "number", "start", "size", "m", cut)
+    low, high = F.greatest(F.col("block") * block, F.col("start")), F.least((F.col("block") + 1) * block, F.col("start") + F.col("size") * F.col("m"))
+    return rows.select("id", "part", "number", "size", "block", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"), (low - F.col("block") * block).alias("at"))
 
 
-def taken_ranges(rows: DataFrame, sources: list[Source], *, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """Per segment of a document that the mix takes: __key, number, __start, __size, and low, high (words), times.
+def layout(rows: DataFrame, sources: list[Source], *, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """What the mix is made of: rows (shard, slot, number, id, part, size, low, high), the words low to high of a unit.
 
-    Slots are joined to blocks by source and block number, after counting each block's uses; a slot that is cut gives
-    its words as a use of its own.
+    A unit that comes several times is its words that many times over. Slots are joined to blocks by source and number.
     """
-    spark = rows.sparkSession
-    uses = slots(spark, sources, seed).groupBy("number", "block", "gives").agg(F.count(F.lit(1)).alias("times"))
-    pieces = segments(offsets(rows, sources), block)
+    pieces, mix = segments(offsets(rows, sources), block), slots(rows.sparkSession, sources, seed).select("shard", "slot", F.col("number").alias("n"), F.col("block").alias("b"), "gives")
     high = F.least(F.col("high"), F.col("low") + F.col("gives") - F.col("at"))
     # the plan takes the slots for as few as the draws they come from; they are as many as the blocks
-    return pieces.join(uses.hint("shuffle_merge"), ["number", "block"]).withColumn("high", high).filter("high > low").drop("block", "gives", "at")
+    met = pieces.join(mix.hint("shuffle_merge"), (F.col("number") == F.col("n")) & (F.col("block") == F.col("b")))
+    return met.withColumn("high", high).filter("high > low").select("shard", "slot", "number", "id", "part", "size", "low", "high")
 
 
-def _totals(rows: DataFrame) -> list[tuple[str | None, int, int]]:
-    return [(r["__source"], r["n"], r["s"]) for r in rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("s")).collect()]
+def _planned(docs: DataFrame, key: str, text_col: str, source_col: str, weights: list[float] | None, block: int, seed: int) -> tuple[DataFrame, list[Source]]:
+    rows = stored(units(docs, key, text_col, source_col))
+    totals = rows.groupBy("source").agg(F.sum("m").alias("n"), F.sum(F.col("size") * F.col("m")).alias("s")).collect()
+    return rows, plan([(r["source"], r["n"], r["s"]) for r in totals], weights, block=block, seed=seed)
 
 
 def taken(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", source_col: str = "source", weights: list[float] | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """Per row of ``docs``: key, size, source_size, target (its source's) and taken, the words the mix takes of it.
+    """Per row of ``docs``: key, size, source_size, target (its source's), taken, the words the mix takes of it, and n_shards, the output shards that hold some.
 
-    A null text has no words, and nothing is taken of it; null is a source of its own; a row's taken words are at most
-    REPEAT times its size. Rows that agree in key, source and size share what is taken evenly. Reruns agree.
+    A null or empty text has no words, and nothing is taken of it; null is a source of its own; a row's taken words are at
+    most REPEAT times its size. Rows that agree in key, source and text share what is taken evenly. Reruns agree. An empty
+    table gives an empty result. Other columns of ``docs`` may have any name.
     """
-    slim = docs.select(docs[key].alias("__key"), docs[source_col].alias("__source"), docs[text_col].alias("__body"))
-    rows = settle(word_counts(slim, ["__key", "__source"], "__body"))
-    sources = plan(_totals(rows), weights, block=block, seed=seed)
-    used = taken_ranges(rows, sources, block=block, seed=seed)
-    sums = used.groupBy("__key", "number", "__size", "__start").agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("t"))
-    sums = sums.groupBy("__key", "number", "__size").agg(F.sum("t").alias("t"))
-    lines = rows.sparkSession.createDataFrame([(s.name, s.number, s.size, s.target) for s in sources], "__name string, __number long, __words long, __target double")
-    all_rows = rows.join(F.broadcast(lines), F.col("__source").eqNullSafe(F.col("__name"))).groupBy("__key", "__number", "__size", "__words", "__target").agg(F.count(F.lit(1)).alias("m"))
-    joined = all_rows.join(sums, all_rows["__key"].eqNullSafe(sums["__key"]) & (F.col("__number") == F.col("number")) & (all_rows["__size"] == sums["__size"]), "left").select(all_rows["__key"], all_rows["__size"], "__words", "__target", "m", F.coalesce("t", F.lit(0)).alias("t"))
-    each = joined.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    even = F.expr("t div m + if(i <= t % m, 1, 0)")
-    return each.select(F.col("__key").alias(key), F.col("__size").alias("size"), F.col("__words").alias("source_size"), F.col("__target").alias("target"), even.cast("long").alias("taken"))
-
-
-def _copies_of(text: str, ranges: list[tuple[int, int, int]]) -> list[str]:
-    """What the mix holds of a text, a string per use: the words used once or more, those used twice or more, and so on.
+    rows, sources = _planned(docs, key, text_col, source_col, weights, block, seed)
+    sums = layout(rows, sources, block=block, seed=seed).groupBy("id", "part", "shard").agg(F.sum(F.col("high") - F.col("low")).alias("t"))
+    sums = sums.groupBy("id", "part").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n_shards")).select(F.col("id").alias("i"), F.col("part").alias("p"), "t", "n_shards")
+    joined = rows.join(sums, (F.col("id") == F.col("i")) & (F.col("part") == F.col("p")), "left").join(_lines(rows.sparkSession, sources), F.col("source").eqNullSafe(F.col("name")))
+    each = joined.withColumn("t", F.coalesce("t", F.lit(0))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    even = F.expr("cast(t div m + if(copy <= t % m, 1, 0) as bigint)")
+    return each.select(F.col("k").alias(key), "size", "source_size", "target", even.alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"))
+
+
+def _copies_of(text: str, ranges: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
+    """What the mix holds of a text, and how often: the words used once or more, those used twice or more, and so on.
 
     A use of all words is the text as it is; else the runs of words, as they stand in the text, joined by a space.
     """
@@ -269,45 +283,44 @@ def _copies_of(text: str, ranges: list[tuple[int, int, int]]) -> list[str]:
     for low, high, times in ranges:
         change[low] += times
         change[high] -= times
-    used = np.cumsum(change[:-1])
-    out = []
-    for level in range(1, int(used.max(initial=0)) + 1):
+    used, done, out = np.cumsum(change[:-1]), 0, []
+    for level in np.unique(used[used > 0]).tolist():  # up to each level the same words are used
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (used >= level).astype(np.int8), [0]])))
         runs = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
         whole = runs == [(0, len(spans))]
-        out.append(text if whole else " ".join(raw[spans[a][0] : spans[b - 1][1]].decode("utf-8", "replace") for a, b in runs))
+        out.append((text if whole else " ".join(raw[spans[a][0] : spans[b - 1][1]].decode("utf-8", "replace") for a, b in runs), level - done))
+        done = level
     return out
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", weights: list[float] | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """The mix as documents: for each use of a row, its columns with the words that are used; ``length_col`` is kept true.
 
-    A row comes up to REPEAT times, or not at all if the mix takes nothing of it. Rows that agree in key, source and
-    number of words are told apart by their rank.
+    A row comes up to REPEAT times, or not at all if the mix takes nothing of it; rows with null or empty texts don't
+    come. Rows that agree in key, source and text are one unit; its uses have the other columns of the row with the
+    smallest hash. An empty table gives an empty result. Texts are moved once, to meet the ranges that are used.
     """
-    slim = docs.select(docs[key].alias("__key"), docs[source_col].alias("__source"), docs[text_col].alias("__body"))
-    rows = settle(word_counts(slim, ["__key", "__source"], "__body"))
-    sources = plan(_totals(rows), weights, block=block, seed=seed)
-    used = taken_ranges(rows, sources, block=block, seed=seed)
-    # a document has a range for each of its blocks, so a list is as long as its text
-    lists = used.groupBy("__key", "number", "__size", "__start").agg(F.collect_list(F.struct("low", "high", "times")).alias("__ranges"))
-    lists = lists.withColumn("__rank", F.row_number().over(W.partitionBy("__key", "number", "__size").orderBy("__start")))
-    lines = rows.sparkSession.createDataFrame([(s.name, s.number) for s in sources], "__name string, __number long")
-    full = word_counts(docs, docs.columns, text_col).join(F.broadcast(lines), F.col(source_col).eqNullSafe(F.col("__name"))).drop("__name")
-    full = full.withColumn("__nth", F.row_number().over(W.partitionBy(key, "__number", "__size").orderBy(F.xxhash64(text_col))))
-    lists = lists.select(F.col("__key").alias("__k"), F.col("number").alias("__n"), F.col("__size").alias("__s"), "__rank", "__ranges")
-    joined = full.join(lists, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__number") == F.col("__n")) & (F.col("__size") == F.col("__s")) & (F.col("__nth") == F.col("__rank")))
-    names, schema = docs.columns, docs.schema
+    rows, sources = _planned(docs, key, text_col, source_col, weights, block, seed)
+    used = layout(rows, sources, block=block, seed=seed).withColumn("copy", F.explode(F.expr("sequence(low div size, (high - 1) div size)")))
+    low, high = F.greatest(F.col("low") - F.col("copy") * F.col("size"), F.lit(0)), F.least(F.col("high") - F.col("copy") * F.col("size"), F.col("size"))
+    counted = used.select("id", low.alias("low"), high.alias("high")).groupBy("id", "low", "high").agg(F.count(F.lit(1)).alias("times"))
+    # ranges lie within the text, so a list is no longer than that
+    lists = counted.groupBy("id").agg(F.collect_list(F.struct("low", "high", "times")).alias("ranges")).select(F.col("id").alias("i"), "ranges")
+    k, source, text = col(docs, key), col(docs, source_col), col(docs, text_col)
+    full = nested(docs.filter(text.rlike(WORD)), id=_identity(k, source, text), order=row_hash(docs)).groupBy("id").agg(F.min_by("row", "order").alias("row"))
+    joined = full.join(lists.hint("shuffle_merge"), F.col("id") == F.col("i")).select("row", F.col("row")[text_col].alias("body"), "ranges")
+    schema = T.StructType([joined.schema["row"], T.StructField("cut", T.StringType()), T.StructField("times", T.LongType()), T.StructField("length", T.LongType())])
 
     def cut(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in names}
-        for i, (text, ranges) in enumerate(zip(rows[text_col], rows["__ranges"], strict=True)):
-            for copy in _copies_of(text, [(r["low"], r["high"], r["times"]) for r in ranges]):
-                for c in names:
-                    out[c].append(rows[c][i])
-                out[text_col][-1] = copy
-                if length_col in out and copy is not text:
-                    out[length_col][-1] = len(copy)
+        out: dict = {None: [], "cut": [], "times": [], "length": []}
+        for i, (body, ranges) in enumerate(zip(rows["body"], rows["ranges"], strict=True)):
+            for copy, times in _copies_of(body, [(r["low"], r["high"], r["times"]) for r in ranges]):
+                for name, value in ((None, i), ("cut", copy), ("times", times), ("length", None if copy is body else len(copy))):
+                    out[name].append(value)
         return out
 
-    return map_arrow(joined.select(*names, "__ranges"), cut, schema)
+    each = map_arrow(joined, cut, schema, carry=["row"]).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    now = {text_col: F.col("cut")}
+    if length_col in docs.columns:
+        now[length_col] = F.coalesce(F.col("length").cast(docs.schema[length_col].dataType), F.col("row")[length_col])
+    return each.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

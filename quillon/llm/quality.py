@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds.
 
 Each text gets a few integer measures. Their distribution in each language and source is held in a mergeable quantile
-sketch, and the thresholds are fences read from the sketches instead of fixed cutoffs. The sketch is a histogram whose
-buckets keep the seven leading bits of a value (relative error under 1/64): sketches merge by adding counts, so they are
-built by partial aggregation, a hot source included, and small groups fall back to the merged sketch of their language,
-then of all rows. The thresholds are joined to the rows again for the verdict.
+sketch, and the thresholds are fences read from the sketches instead of fixed cutoffs: a high quantile, and beyond it a
+multiple of its distance from the median. The sketch is a histogram whose buckets keep the seven leading bits of a value
+(relative error under 1/64): sketches merge by adding counts, so they are built by partial aggregation, a hot source
+included. The fences of a group are drawn towards those of its language, and these towards those of all rows, with the
+weight of PRIOR rows, so that a small group has no wild fences and a large one its own. The fences are joined to the
+rows again for the verdict. Rows that fail the base rule are out already and not in the sketches.
 """
 
 from __future__ import annotations
@@ -17,16 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quillon.llm.common import map_arrow, settle, small_side
+from quillon.llm.common import col, map_arrow, nested, small_side, stored, unnested
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-#: Rows a group needs for a sketch of its own.
-LEAST_ROWS = 50
-#: Measures: name, lowest upper fence, whether a lower fence holds too. Per mille, or hundredths of a character.
-MEASURES = (("symbols", 250, False), ("repeats", 200, False), ("dup_lines", 300, False), ("word_len", 900, True))
-#: Fences lie this many interquartile ranges beyond the quartiles.
-SPREAD = 3
+#: What the fences of the coarser group weigh, in rows.
+PRIOR = 50
+#: Measures: name, upper quantile in percent, lower one (None: no lower fence), and how many times its distance from the
+#: median (one unit at least) the fence lies beyond the quantile. Values are per mille, or hundredths of a character.
+MEASURES = (("symbols", 90, None, 3), ("repeats", 99, None, 1), ("dup_lines", 99, None, 1), ("word_len", 75, 25, 6))
 
 BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -73,27 +74,26 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(starts) > 0).sum())
 
 
-def measured(docs: DataFrame, keep: list[str], *, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """The columns ``keep`` and the base measures of every whole text; a null text has no words."""
-    names = [prefix + n for n in BASE.names]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, T.LongType()) for n in names])
+def measured(slim: DataFrame) -> DataFrame:
+    """All columns of ``slim`` but ``body`` (a text in UTF-8), and the base measures of that; a null text has no words."""
+    keep = [c for c in slim.columns if c != "body"]
+    schema = T.StructType([slim.schema[c] for c in keep] + BASE.fields)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        found = [measure_text(x) for x in rows.pop("__text")]
-        return rows | {n: [x[i] for x in found] for i, n in enumerate(names)}
+        found = [measure_text(x) for x in rows["body"]]
+        return {n: [x[i] for x in found] for i, n in enumerate(BASE.names)}
 
-    return map_arrow(docs.select(*[docs[c] for c in keep], docs[text_col].cast("binary").alias("__text")), run, schema)
+    return map_arrow(slim, run, schema, carry=keep)
 
 
-def base_failed(prefix: str = "") -> Column:
-    words, repeats = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
-    return (words < 20) | (100 * repeats > 30 * words)
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def measure_columns(prefix: str = "") -> dict[str, Column]:
+def measure_columns() -> dict[str, Column]:
     """The integer measures that have sketches."""
-    per = lambda x, y: F.expr(f"{prefix}{x} * 1000 div greatest({prefix}{y}, 1)")
-    return {"symbols": per("n_symbols", "n_words"), "repeats": per("n_repeat_words", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "word_len": F.expr(f"{prefix}word_chars * 100 div greatest({prefix}n_words, 1)")}
+    per = lambda x, y: F.expr(f"{x} * 1000 div greatest({y}, 1)")
+    return {"symbols": per("n_symbols", "n_words"), "repeats": per("n_repeat_words", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "word_len": F.expr("word_chars * 100 div greatest(n_words, 1)")}
 
 
 def bucket(value: Column) -> Column:
@@ -102,9 +102,9 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def sketches(rows: DataFrame, measures: dict[str, Column], groups: list[str]) -> DataFrame:
+def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Mergeable quantile sketches: rows (groups..., measure, value, n), by partial aggregation."""
-    stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), bucket(x).alias("value")) for name, x in measures.items()]))
+    stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), bucket(x).alias("value")) for name, x in measure_columns().items()]))
     return rows.select(*groups, stacked.alias("m")).groupBy(*groups, "m.measure", "m.value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,76 +113,77 @@ def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
     return sketch.groupBy(*groups, "measure", "value").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """Rows, lower and upper quartile of each sketch (a sketch has a few hundred buckets at most)."""
+def _of_measure(at: int) -> Column:
+    """What MEASURES holds at a position, for the row's measure."""
+    return F.coalesce(*[F.when(F.col("measure") == m[0], F.lit(m[at])) for m in MEASURES])
+
+
+def own_fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows, lower and upper fence of each sketch by itself (a sketch has a few hundred buckets at most)."""
     by = W.partitionBy(*groups, "measure")
     ranked = sketch.withColumn("upto", F.sum("n").over(by.orderBy("value").rowsBetween(W.unboundedPreceding, 0))).withColumn("rows", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * q, F.col("value")))
-    return ranked.groupBy(*groups, "measure").agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * percent, F.col("value")))
+    found = ranked.groupBy(*groups, "measure").agg(F.max("rows").alias("rows"), at(_of_measure(2)).alias("down"), at(F.lit(50)).alias("middle"), at(_of_measure(1)).alias("up"))
+    reach = lambda x: _of_measure(3) * F.greatest(x, F.lit(1))
+    low, high = F.col("down") - reach(F.col("middle") - F.col("down")), F.col("up") + reach(F.col("up") - F.col("middle"))
+    return found.select(*groups, "measure", "rows", low.alias("low"), high.alias("high"))
 
 
-def fences(sketch: DataFrame, lang: str, source: str) -> DataFrame:
-    """Lower and upper fence per language, source and measure.
+def fences(sketch: DataFrame) -> DataFrame:
+    """Lower and upper fence per language, source and measure, drawn towards those of the language and of all rows.
 
-    ``sketch`` is by language and source. A group with fewer than LEAST_ROWS rows takes its language's fences, a small
-    language those of all rows. All inputs here have one row per group, measure and bucket.
+    ``sketch`` is by ``lang`` and ``source``. All inputs here have one row per group, measure and bucket.
     """
-    own, by_lang, all_rows = quartiles(sketch, [lang, source]), quartiles(merged(sketch, [lang]), [lang]), quartiles(merged(sketch, []), [])
     named = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
-    both = own.join(named(by_lang, "l_"), F.col(lang).eqNullSafe(F.col(f"l_{lang}")) & (F.col("measure") == F.col("l_measure")), "left")
-    both = both.join(F.broadcast(named(all_rows, "a_")), F.col("measure") == F.col("a_measure"), "left")  # one row per measure
-    pick = lambda c: F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    both = both.select(lang, source, "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    reach = SPREAD * (F.col("q3") - F.col("q1"))
-    floor, low = F.lit(None).cast("long"), F.lit(-1).cast("long")
-    for name, least, lower in MEASURES:
-        floor = F.when(F.col("measure") == name, F.lit(least).cast("long")).otherwise(floor)
-        low = F.when((F.col("measure") == name) & F.lit(lower), F.expr("q1 div 2") - reach).otherwise(low)
-    return both.select(lang, source, "measure", low.alias("low"), F.greatest(F.col("q3") + reach, floor).alias("high"))
-
-
-def limits(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """One row (``__l``, ``__s``, ``__limits``: measure to fences) per language and source of measured rows (prefix ``__``)."""
-    keys = rows.filter(~base_failed("__")).withColumns({"k_lang": F.col(lang), "k_source": F.col(source)})
-    sketch = settle(sketches(keys, measure_columns("__"), ["k_lang", "k_source"]))
+    own, by_lang, all_rows = own_fences(sketch, ["lang", "source"]), named(own_fences(merged(sketch, ["lang"]), ["lang"]), "l_"), named(own_fences(merged(sketch, []), []), "a_")
+    both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")))
+    both = both.join(F.broadcast(all_rows), F.col("measure") == F.col("a_measure"))  # one row per measure
+    drawn = lambda x, rows, to: (F.col(x) * F.col(rows) + to * PRIOR) / (F.col(rows) + PRIOR)
+    blend = lambda x: drawn(x, "rows", drawn(f"l_{x}", "l_rows", F.col(f"a_{x}")))
+    return both.select("lang", "source", "measure", blend("low").alias("low"), blend("high").alias("high"))
+
+
+def limits(rows: DataFrame) -> DataFrame:
+    """One row (``l``, ``s``, ``limits``: measure to fences) per ``lang`` and ``source`` of measured rows."""
+    sketch = stored(sketches(rows.filter(~base_failed()), ["lang", "source"]))
     fence = F.struct("measure", F.struct("low", "high").alias("x"))
     # a group has one row per measure, so the list is short
-    by_group = fences(sketch, "k_lang", "k_source").groupBy("k_lang", "k_source").agg(F.map_from_entries(F.collect_list(fence)).alias("__limits"))
-    return by_group.select(F.col("k_lang").alias("__l"), F.col("k_source").alias("__s"), "__limits")
+    by_group = fences(sketch).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(fence)).alias("limits"))
+    return by_group.select(F.col("lang").alias("l"), F.col("source").alias("s"), "limits")
 
 
-def verdicts(rows: DataFrame, found: DataFrame, lang: str, source: str) -> DataFrame:
-    """Measured rows with ``__base_failed`` and ``__kept``, by a join with their group's limits."""
-    joined = rows.join(small_side(settle(found)), F.col(lang).eqNullSafe(F.col("__l")) & F.col(source).eqNullSafe(F.col("__s")), "left")
+def verdicts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Measured rows with ``failed`` (the base rule) and ``stays``, by a join with their group's fences."""
+    joined = rows.join(small_side(stored(found)), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     bad = F.lit(False)
-    for name, x in measure_columns("__").items():
-        fence = F.col("__limits")[name]
-        bad = bad | F.coalesce((x < fence["low"]) | (x > fence["high"]), F.lit(False))
-    failed = base_failed("__")
-    return joined.withColumns({"__base_failed": failed, "__kept": ~failed & ~bad}).drop("__l", "__s", "__limits")
+    for name, x in measure_columns().items():
+        fence = F.col("limits")[name]
+        bad = bad | F.coalesce(bucket(x) < fence["low"], F.lit(False)) | F.coalesce(bucket(x) > fence["high"], F.lit(False))
+    return joined.withColumns({"failed": base_failed(), "stays": ~base_failed() & ~bad}).drop("l", "s", "limits")
+
+
+def _slim(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> dict[str, Column]:
+    return {"lang": col(docs, lang_col), "source": col(docs, source_col), "body": col(docs, text_col).cast("binary")}
 
 
 def judged(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``key``, the base measures, base_failed and kept for every row of ``docs``.
 
-    A null text has no words and fails; null languages and sources are groups of their own; equal rows get equal
-    verdicts; an empty table gives an empty result.
+    A null or empty text has no words and fails; null languages and sources are groups of their own; equal rows get equal
+    verdicts; an empty table gives an empty result. Other columns of ``docs`` may have any name.
     """
-    slim = docs.select(docs[key].alias("__key"), docs[lang_col].alias("__lang"), docs[source_col].alias("__source"), docs[text_col].alias("__body"))
-    rows = settle(measured(slim, ["__key", "__lang", "__source"], text_col="__body", prefix="__"))
-    out = verdicts(rows, limits(rows, "__lang", "__source"), "__lang", "__source")
-    base = [F.col(f"__{n}").alias(n) for n in BASE.names[:-1]]
-    return out.select(F.col("__key").alias(key), *base, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    rows = stored(measured(docs.select(col(docs, key).alias("k"), *[x.alias(n) for n, x in _slim(docs, text_col, lang_col, source_col).items()])))
+    out = verdicts(rows, limits(rows))
+    return out.select(F.col("k").alias(key), *BASE.names[:-1], F.col("failed").alias("base_failed"), F.col("stays").alias("kept"))
 
 
 def filter_documents(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are.
+    """The rows of ``docs`` that the rules keep, all columns as they are, whatever their names.
 
-    A first pass gathers the sketches from narrow rows; the second measures again beside the text, so that no text is
-    shuffled.
+    Null and empty texts fail; null languages and sources are groups of their own; equal rows stay or go together; an
+    empty table stays empty. A first pass gathers the sketches from narrow rows; the second measures again beside the
+    text, so that no text is shuffled.
     """
-    slim = docs.select(docs[lang_col].alias("__lang"), docs[source_col].alias("__source"), docs[text_col].alias("__body"))
-    rows = settle(measured(slim, ["__lang", "__source"], text_col="__body", prefix="__"))
-    found = limits(rows, "__lang", "__source")
-    full = measured(docs, docs.columns, text_col=text_col, prefix="__")
-    return verdicts(full, found, lang_col, source_col).filter("__kept").select(*docs.columns)
+    narrow = _slim(docs, text_col, lang_col, source_col)
+    found = limits(stored(measured(docs.select(*[x.alias(n) for n, x in narrow.items()]))))
+    return unnested(verdicts(measured(nested(docs, **narrow)), found).filter("stays"), docs.columns)

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe_tree, exact_dedup, html_text, langid_ppm, licenses, mixing, quality, sharding, simhash, warc_zip
-from quillon.llm.common import read_table
+from quillon.llm.common import read_table as _read, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _read(small_batches(spark), sf_dir, name)
+
+
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
@@ -23,7 +27,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     rows = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    sample = langid_ppm.training_sample(rows.filter(~F.col("held_out")), text_col="text", lang_col="lang", key_col="doc_id", max_bytes=4_000_000)
+    sample = langid_ppm.training_sample(rows.filter(~F.col("held_out")))
     return langid_ppm.identify(rows, langid_ppm.fit(sample), keep=["doc_id", "held_out"])
 
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import col, nested, row_hash
+
 SHARDS, SLOTS = 64, 10_007
 #: The bound on what is broadcast: some 16 MB.
 MOST_SLOTS = 1_000_003
@@ -55,19 +57,29 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: Sequence[str], *, slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
-    """All columns of ``df`` with the slot and shard number of ``key``; existing columns of these names are replaced.
+    """All columns of ``df`` with the slot and shard number of ``key``; other columns of these names are replaced.
 
-    Equal keys have equal shards, whatever else the rows hold; an empty table gives an empty result.
+    Equal keys have equal shards, whatever else the rows hold; a null key counts as empty; an empty table gives an empty
+    result. The key itself is always kept, so it may not be named like a result.
     """
-    spark = df.sparkSession
+    if key.lower() in (slot_col.lower(), shard_col.lower()):
+        raise ValueError(f"the key {key} has the name of a result; give slot_col and shard_col others")
     listed = ",".join(map(str, fill_table(shards, slots)))
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("__slot", "__shard"))
-    placed = df.withColumn("__at", slot_of(df[key], slots)).join(F.broadcast(table), F.col("__at") == F.col("__slot"))
+    table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("slot", "shard"))
+    placed = nested(df, at=slot_of(col(df, key), slots)).join(F.broadcast(table), F.col("at") == F.col("slot"))
     others = [c for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
-    return placed.select(*[df[c] for c in others], F.col("__at").alias(slot_col), F.col("__shard").cast("int").alias(shard_col))
+    return placed.select(*[F.col("row")[c].alias(c) for c in others], F.col("at").alias(slot_col), F.col("shard").cast("int").alias(shard_col))
+
 
+def write_sharded(df: DataFrame, key: str, shards: Sequence[str], path: str, *, slots: int = SLOTS, parts: int = 8, shard_col: str = "shard") -> None:
+    """Write ``df`` as Parquet, a folder per shard and up to ``parts`` files in each; a hot shard is dealt over its parts too.
 
-def write_sharded(df: DataFrame, key: str, shards: Sequence[str], path: str, *, slots: int = SLOTS, parts: int = 8) -> None:
-    """Write ``df`` as Parquet, a folder per shard and about ``parts`` files in each; a hot shard is dealt over its parts too."""
-    placed = place(df, key, shards, slots=slots)
-    placed.withColumn("__part", (F.rand(7) * parts).cast("int")).repartition(len(shards) * parts, "shard", "__part").drop("__part").write.partitionBy("shard").parquet(path)
+    A row's part is a hash of its columns, so a task that runs again deals its rows as before. A column named like
+    ``shard_col`` is replaced by the shard; a null key counts as empty; an empty table writes no shard.
+    """
+    own = [c for c in df.columns if c.lower() != shard_col.lower()]
+    slot = next(f"slot{'_' * n}" for n in range(len(own) + 1) if f"slot{'_' * n}" not in {c.lower() for c in own})
+    part = next(f"part{'_' * n}" for n in range(len(own) + 1) if f"part{'_' * n}" not in {c.lower() for c in own})
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(row_hash(df)), F.lit(parts)))
+    placed = place(dealt, key, shards, slots=slots, slot_col=slot, shard_col=shard_col).drop(slot)
+    placed.repartition(len(shards) * parts, shard_col, part).drop(part).write.partitionBy(shard_col).parquet(path)

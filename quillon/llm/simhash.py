@@ -3,13 +3,13 @@
 A 64-bit fingerprint is mapped to the bit counts of its 16 four-bit segments. The Manhattan distance of two such vectors
 is a lower bound of the Hamming distance, and the vector packs into one BIGINT (a nibble per count), computed by shifts
 and masks in the JVM. Fingerprints within two bits have vectors within Manhattan distance two, so both reach a common
-grid cell by at most one step of one: each fingerprint is registered in its own cell and those one step away, cells are
-joined by equality, and what meets there is verified on the fingerprints.
+grid cell by at most one step of one: each fingerprint is registered in its own cell and those one step away, and cells
+that several reach hold the candidates.
 
-No cell is paired with itself beyond a bound: the fingerprints of a crowded cell are linked through centres instead.
-Two fingerprints within two bits have a common fingerprint within one bit of both; each registers with itself and its 64
-one-bit neighbours, and all that register with the same centre are within two bits of each other, so one link to the
-smallest of them is enough. This is exact too, needs no pairs and aggregates before the shuffle.
+Inside such a cell they are verified exactly, without pairing the cell with itself: two fingerprints within two bits have
+a common one within one bit of both, their centre, whose vector is a cell that both reach. So each is registered with its
+centres in the cell (itself, or those that a flipped bit of the stepped segment gives), 65 fingerprints at most share a
+centre, all of them within two bits of each other, and one link to the smallest of them is enough.
 
 Links join distinct fingerprints (copies are one fingerprint); components come from minimum labels with pointer jumping.
 """
@@ -17,18 +17,18 @@ Links join distinct fingerprints (copies are one fingerprint); components come f
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import forget, map_arrow, small_side, stored
+from quillon.llm.common import col, forget, map_arrow, marked, nested, row_hash, small_side, stored, unnested
 
-#: Fingerprints that a grid cell may pair; a cell with more is linked through centres.
-CROWDED = 32
+#: Shingles that are hashed at once.
 BLOCK = 1 << 15
 
 
@@ -51,14 +51,11 @@ def fingerprint(raw: bytes | None, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], *, text_col: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
-    """The columns ``keep`` and the fingerprint of every whole text; no words, or null, gives zero."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.LongType())])
-
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        return rows | {name: [fingerprint(x, shingle) for x in rows.pop("__text")]}
-
-    return map_arrow(docs.select(*[docs[c] for c in keep], docs[text_col].cast("binary").alias("__text")), run, schema)
+def fingerprints(slim: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """All columns of ``slim`` but ``body`` (a text in UTF-8), and fp, the fingerprint of that; no words, or null, gives zero."""
+    keep = [c for c in slim.columns if c != "body"]
+    schema = T.StructType([slim.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
+    return map_arrow(slim, lambda rows: {"fp": [fingerprint(x, shingle) for x in rows["body"]]}, schema, carry=keep)
 
 
 def _nibbles(x: str) -> str:
@@ -68,67 +65,62 @@ def _nibbles(x: str) -> str:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, among distinct fingerprints (column ``fp``) that join all within two differing bits.
+    """Links (a, b), a < b, among distinct fingerprints (column ``fp``) that connect all within two differing bits.
 
-    Each link is within two bits, and any two fingerprints within two bits are linked or connected by links.
+    Each link is within two bits, and any two fingerprints within two bits are connected by links.
     """
-    cell = F.expr(_nibbles("fp"))
-    steps = []
-    for i in range(16):
-        count = f"(shiftrightunsigned(cell, {4 * i}) & 15L)"
-        rest = f"(cell & ~shiftleft(15L, {4 * i}))"
-        steps.append(f"if({count} < 4, {rest} | shiftleft({count} + 1L, {4 * i}), null)")
-        steps.append(f"if({count} > 0, {rest} | shiftleft({count} - 1L, {4 * i}), null)")
-    cells = prints.select("fp", cell.alias("cell")).select("fp", F.explode(F.expr(f"array_compact(array(cell, {', '.join(steps)}))")).alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(cells.join(counts, "cell"))
-    few = shared.filter(F.col("n") <= CROWDED)
-    close = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell").filter("a < b and bit_count(a ^ b) <= 2").select("a", "b").distinct()
-    crowded = shared.filter(F.col("n") > CROWDED).select("fp").distinct()
-    centres = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.expr(f"fp ^ shiftleft(1L, {i})") for i in range(64)])).alias("centre"))
-    smallest = centres.groupBy("centre").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("centre", "a")
-    through = centres.join(smallest, "centre").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
-    return close.unionByName(through).distinct()
-
-
-def components(edges: DataFrame, nodes: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """The smallest label reachable from each node: ``edges`` (a, b), ``nodes`` (fp, label) of the nodes with an edge.
+    # the cells that are reached: the vector's own, and one step up or down in each segment, where there is one
+    ways = prints.select("fp", F.expr(_nibbles("fp")).alias("own"), F.explode(F.expr("sequence(0, 32)")).alias("way"))
+    ways = ways.selectExpr("fp", "own", "cast((way + 1) div 2 as int) - 1 as segment", "if(way = 0, 0, if(way % 2 = 1, 1, -1)) as step")
+    count = "(shiftrightunsigned(own, 4 * segment) & 15L)"
+    cells = ways.filter(f"step = 0 or step = 1 and {count} < 4 or step = -1 and {count} > 0").selectExpr("fp", "segment", "step", "if(step = 0, own, own + shiftleft(cast(step as bigint), 4 * segment)) as cell")
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("cell").alias("full"))
+    shared = cells.join(counts, F.col("cell") == F.col("full"))
+    bit = "shiftleft(1L, 4 * segment + b)"
+    flipped = f"transform(filter(sequence(0, 3), b -> (fp & {bit} = 0) = (step = 1)), b -> fp ^ {bit})"
+    centres = shared.select("fp", F.explode(F.expr(f"if(step = 0, array(fp), {flipped})")).alias("centre"))
+    met = centres.groupBy("centre").agg(F.collect_list("fp").alias("m")).filter("size(m) > 1")  # 65 at most
+    return met.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).filter("a < b and bit_count(a ^ b) <= 2").distinct()
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The smallest label reachable from each node: ``edges`` (a, b), ``nodes`` (node, label) of the nodes with an edge; null labels come last.
 
     Rounds of taking the smallest label next door and then following it one jump, until none changes; each round's
-    labels are settled in the shared folder.
+    labels are stored in the shared folder. Returns (node, component).
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    # label by node number: the smallest label's node stands for it, so that jumps can follow it
-    state = stored(nodes.select("fp", F.col("label"), F.struct(F.col("label").alias("l"), F.col("fp").alias("f")).alias("root")))
-    for _ in range(most_rounds):
-        near = both.join(state.select(F.col("fp").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = stored(state.join(near, state["fp"] == near["a"], "left").select("fp", "label", F.col("root").alias("was"), F.least("root", "near").alias("root")))
-        ahead = step.select(F.col("fp").alias("f"), F.col("root").alias("ahead"))
-        after = stored(step.join(ahead, F.col("root.f") == F.col("f"), "left").select("fp", "label", "was", F.least("root", "ahead").alias("root")))
-        forget(state)
-        forget(step)
+    # the smallest label's node stands for it, so that jumps can follow it
+    state = stored(nodes.select("node", F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("l"), F.col("node").alias("of")).alias("root")))
+    while True:
+        near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        step = stored(state.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        ahead = step.select(F.col("node").alias("at"), F.col("root").alias("ahead"))
+        after = stored(step.join(ahead, F.col("root.of") == F.col("at"), "left").select("node", "was", F.least("root", "ahead").alias("root")))
+        forget(state, step)
         if after.filter("was != root").limit(1).count() == 0:
             forget(both)
-            return after.select("fp", F.col("root.l").alias("component"))
-        state = after.select("fp", "label", "root")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+            return after.select("node", F.col("root.l").alias("component"))
+        state = after.select("node", "root")
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Per row of ``docs``: ``key``, fp (fingerprint) and component (the smallest key reachable over links, itself included).
 
-    Texts without words have fingerprint zero and link like any other. Repeated rows share a component; a null key never
-    stands for a component unless all keys in it are null.
+    Null and empty texts, and those without words, have fingerprint zero and link like any other. Repeated rows share a
+    component; a null key never stands for a component unless all keys in it are null; an empty table gives an empty
+    result. Other columns of ``docs`` may have any name.
     """
-    slim = docs.select(docs[key].alias("__key"), docs[text_col].alias("__body"))
-    rows = stored(fingerprints(slim, ["__key"], text_col="__body", shingle=shingle))
-    prints = stored(rows.groupBy("fp").agg(F.min("__key").alias("label"), F.count(F.lit(1)).alias("n")))
+    rows = stored(fingerprints(docs.select(col(docs, key).alias("k"), col(docs, text_col).cast("binary").alias("body")), shingle=shingle))
+    prints = stored(rows.groupBy("fp").agg(F.min("k").alias("label"), F.count(F.lit(1)).alias("n")))
     edges = stored(links(prints.select("fp")))
     ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    linked = components(edges, prints.join(ends, "fp", "left_semi").select("fp", "label"))
+    linked = components(edges, prints.join(ends, "fp", "left_semi").select(F.col("fp").alias("node"), "label"))
     # a fingerprint of its own, with one row, needs no lookup
-    known = prints.join(linked.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"), "left").filter("n > 1 or component is not null").select(F.col("fp").alias("__fp"), F.coalesce("component", "label").alias("component"))
-    return rows.join(known.distinct(), F.col("fp") == F.col("__fp"), "left").select(F.col("__key").alias(key), "fp", F.coalesce("component", "__key").alias("component"))
+    known = stored(prints.join(linked, F.col("fp") == F.col("node"), "left").filter("n > 1 or node is not null").select(F.col("fp").alias("f"), F.when(F.col("node").isNull(), F.col("label")).otherwise(F.col("component")).alias("component")))
+    forget(prints, edges, linked)
+    found = rows.join(known, F.col("fp") == F.col("f"), "left")
+    return found.select(F.col("k").alias(key), "fp", F.when(F.col("f").isNull(), F.col("k")).otherwise(F.col("component")).alias("component"))
 
 
 # -- near-duplicates at a given similarity of shingle sets -------------------------------------------------------
@@ -138,16 +130,16 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
 # such a threshold, fingerprints of small samples join the one of the whole text: in each of several views, the SimHash
 # of the few shingles that come first in the view's order. Samples of texts with similarity s agree with probability
 # s ** SAMPLE in each view. What meets is verified by the exact Jaccard similarity of all shingles.
-
 #
-# Members that share a sample's fingerprint are paired in a small group. A larger one is cut into blocks by a hash of the
-# members; each two blocks are compared in one task, all members with all, by products of their incidence matrices, and
-# only links that make a spanning forest come out. So no pairs are emitted, memory is that of two blocks, and no link's
-# connection is lost, however large the group.
+# Texts that share a sample's fingerprint form a group, which may be large. First each is compared with the group's leader
+# (the smallest by a hash of the text, so that leaders of one text's groups are often the same); links found connect most
+# of a group of copies. Then only those stay open that aren't connected with their leader; they are compared with all of
+# the group, in blocks of bounded size whose comparisons stay in their task and yield links of a spanning forest alone.
+# Groups of all sizes go the same way, and nothing that shares a fingerprint is left uncompared or unconnected.
 
 VIEWS, SAMPLE = 24, 3
-#: Members of a sample's group that are paired; and the mean members and shingles of a block of a larger one.
-PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 8, 2048, 2_000_000
+#: Open members, and members that they are compared with, in a block (about so many, dealt by a hash).
+OPEN_ROWS, BLOCK_ROWS = 64, 192
 #: Shingles that are multiplied at once.
 COLUMNS = 4096
 #: Keys of orders that are computed at once.
@@ -190,37 +182,43 @@ def view_prints(hashes: np.ndarray, views: int = VIEWS, sample: int = SAMPLE) ->
     return out
 
 
-def _described(docs: DataFrame, key: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, n, fp, views): key and text hash, number of shingles, fingerprints of the text and of its samples."""
-    schema = T.StructType([docs.schema[key], T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType()))])
+def _text_id(text: Column) -> Column:
+    """Two hashes that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
+
+
+def _described(docs: DataFrame, text_col: str, shingle: int, key: str) -> DataFrame:
+    """Rows (k, id, n, fp, views): key, text, number of shingles, fingerprints of the text and of its samples."""
+    text = col(docs, text_col)
+    slim = docs.select(col(docs, key).alias("k"), _text_id(text).alias("id"), text.cast("binary").alias("body"))
+    schema = T.StructType([slim.schema["k"], slim.schema["id"], T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("views", T.ArrayType(T.LongType()))])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {key: rows["k"], "h": rows["h"], "n": [], "fp": [], "views": []}
-        for raw in rows["t"]:
+        out: dict[str, list] = {"n": [], "fp": [], "views": []}
+        for raw in rows["body"]:
             hashes = shingle_hashes(raw, shingle)
             out["n"].append(len(hashes))
             out["fp"].append(fingerprint(raw, shingle))
             out["views"].append(view_prints(hashes))
         return out
 
-    slim = docs.select(docs[key].alias("k"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].cast("binary").alias("t"))
-    return map_arrow(slim, run, schema).select(F.struct(F.col(key).alias("k"), "h").alias("id"), "n", "fp", "views")
+    return map_arrow(slim, run, schema, carry=["k", "id"])
 
 
-def _groups(members: DataFrame) -> DataFrame:
-    """Members (view, print, id, n) of groups with several, with ``size``, ``total`` (shingles) and ``gg``, a key of the group."""
-    groups = members.groupBy("view", "print").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
-    # by keys of their own, so that a hot group can be split
-    groups = groups.select(F.col("view").alias("v"), F.col("print").alias("p"), F.xxhash64("view", "print").alias("g"), "size", "total")
-    keyed = members.withColumn("gg", F.xxhash64("view", "print"))
-    return keyed.join(groups, (F.col("gg") == F.col("g")) & (F.col("view") == F.col("v")) & (F.col("print") == F.col("p"))).drop("g", "v", "p")
+def _sets(docs: DataFrame, text_col: str, shingle: int, ends: DataFrame) -> DataFrame:
+    """Rows (e, s): the texts ``ends`` (column e) and their distinct shingles."""
+    schema = T.StructType([ends.schema["e"], T.StructField("s", T.ArrayType(T.LongType()))])
+    text = col(docs, text_col)
+    slim = docs.select(_text_id(text).alias("id"), text.cast("binary").alias("body"))
+    met = slim.join(small_side(ends), F.col("id") == F.col("e"), "left_semi").select(F.col("id").alias("e"), "body")
+    return map_arrow(met, lambda rows: {"s": [shingle_hashes(t, shingle).view(np.int64) for t in rows["body"]]}, schema, carry=["e"]).dropDuplicates(["e"])
 
 
-def _pairs(few: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of x and y whose numbers of shingles allow for a similarity of ``least``."""
-    longer, shorter = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
-    fit = few.filter((F.col("x.id") != F.col("y.id")) & (shorter >= longer * least))
-    return fit.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) with a Jaccard similarity of ``least`` or more."""
+    one, two = sets.select(F.col("e").alias("a"), F.col("s").alias("sa")), sets.select(F.col("e").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-6).select("a", "b")
 
 
 def forest(rows: np.ndarray, values: np.ndarray, first: np.ndarray, second: np.ndarray, n: int, least: float) -> list[tuple[int, int]]:
@@ -266,77 +264,117 @@ def forest(rows: np.ndarray, values: np.ndarray, first: np.ndarray, second: np.n
     return out
 
 
-def _in_blocks(big: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that connect the members of large groups; ``sets``: (e, s) of each member."""
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
-    dealt = big.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("gg", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
-    link = T.StructType([T.StructField(c, big.schema["id"].dataType) for c in ("a", "b")])
-
-    def compared(table: pa.Table) -> pa.Table:
-        ids, own = table.column("id").combine_chunks(), table.column("block").to_numpy()
-        listed = table.column("s").combine_chunks()
-        rows = np.repeat(np.arange(len(ids)), np.diff(listed.offsets.to_numpy()))
-        first, second = np.flatnonzero(own == table.column("i")[0].as_py()), np.flatnonzero(own == table.column("j")[0].as_py())
-        found = forest(rows, listed.flatten().to_numpy(), first, second, len(ids), least)
-        return pa.table({"a": ids.take(pa.array([a for a, _ in found], pa.int64())), "b": ids.take(pa.array([b for _, b in found], pa.int64()))})
-
-    met = dealt.join(sets, F.col("id") == F.col("e")).select("gg", "i", "j", "block", "id", "s")
-    return met.groupBy("gg", "i", "j").applyInArrow(compared, link)
-
-
-def _edges(docs: DataFrame, key: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """Verified links (a, b) that connect all candidates with a similarity of ``least`` or more."""
-    rows = stored(_described(docs, key, text_col, shingle).filter("n > 0").dropDuplicates(["id"]))
-    by_view = rows.select("id", "n", F.posexplode("views").alias("view", "print"))
-    shared = stored(_groups(by_view.unionByName(rows.select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print")))))
-    x = F.struct("id", "n")
-    few = shared.filter(F.col("size") <= PAIRED).groupBy("view", "print").agg(F.collect_list(x).alias("m"))
-    few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    # whole fingerprints that differ in one or two bits: the smallest ids stand for them
-    prints = stored(rows.groupBy("fp").agg(F.min(x).alias("first")))
-    a, b = prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), prints.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    pairs = stored(_pairs(few.unionByName(links(prints.select("fp")).join(a, "a").join(b, "b").select("x", "y")), least))
-    big = shared.filter(F.col("size") > PAIRED)
-    ends = stored(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).unionByName(big.select(F.col("id").alias("e"))).distinct())
-    sets = stored(_shingle_sets(docs, key, text_col, shingle, ends))
-    one, two = sets.select(F.col("e").alias("a"), F.col("s").alias("sa")), sets.select(F.col("e").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    paired = both.filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-6).select("a", "b")
-    out = stored(paired.unionByName(_in_blocks(big, sets, least)).distinct())
-    for done in (rows, shared, prints, pairs, ends, sets):
-        forget(done)
+def _compared_in_blocks(open_rows: DataFrame, members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect the open members (g, id) with those of ``members`` (g, id, size, open) in their group."""
+    counts = open_rows.groupBy("g").agg(F.count(F.lit(1)).alias("several")).select(F.col("g").alias("gg"), "several")
+    at = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
+    held = members.join(counts, F.col("g") == F.col("gg")).withColumns({"rows": at("several", OPEN_ROWS), "columns": at("size", BLOCK_ROWS)})
+    # an open member comes once per block of the others, another one once per block of the open ones
+    first = held.filter("open").select("g", own("rows").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(True).alias("open"), "id")
+    second = held.select("g", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), own("columns").alias("j"), F.lit(False).alias("open"), "id")
+    dealt = first.unionByName(second).join(sets, F.col("id") == F.col("e")).select("g", "i", "j", "open", "id", "s")
+    link = T.StructType([T.StructField(c, members.schema["id"].dataType) for c in ("a", "b")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, ("g", "i", "j")):
+            ids, listed, mark = block.column("id").combine_chunks(), block.column("s").combine_chunks(), block.column("open").to_numpy()
+            rows = np.repeat(np.arange(len(ids)), np.diff(listed.offsets.to_numpy()))
+            found = forest(rows, listed.flatten().to_numpy(), np.flatnonzero(mark), np.flatnonzero(~mark), len(ids), least)
+            pairs = [ids.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, link).filter("a != b")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that follow each other and agree in ``keys``, whatever batches they come in."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(low, high - low)
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, component) of the texts with an edge: the smallest text of each component."""
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    return components(edges, nodes.select("node", F.col("node").alias("label")))
+
+
+def _edges(docs: DataFrame, texts: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Verified links (a, b) that connect all candidates with a similarity of ``least`` or more; ``texts``: (id, n, fp, views), distinct."""
+    by_view = texts.select("id", "n", F.posexplode("views").alias("view", "print")).unionByName(texts.select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print")))
+    by_view = by_view.select(F.xxhash64("view", "print").alias("g"), "id", "n", F.xxhash64("id").alias("turn"))
+    lead = by_view.groupBy("g").agg(F.min(F.struct("turn", "id", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    groups = lead.select(F.col("g").alias("gg"), F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"), "size")
+    members = stored(by_view.join(groups, F.col("g") == F.col("gg")).select("g", "id", "n", "size", "leader", "m"))
+    # whole fingerprints that differ in one or two bits: the smallest texts stand for them
+    prints = stored(texts.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")))
+    one, two = prints.select(F.col("fp").alias("a"), F.col("first.id").alias("x"), F.col("first.n").alias("nx")), prints.select(F.col("fp").alias("b"), F.col("first.id").alias("y"), F.col("first.n").alias("ny"))
+    close = links(prints.select("fp")).join(one, "a").join(two, "b").select("x", "nx", "y", "ny")
+    led = members.filter("id != leader").select(F.col("leader").alias("x"), F.col("m").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"))
+    fit = led.unionByName(close).filter(F.least("nx", "ny") >= F.greatest("nx", "ny") * least)
+    pairs = stored(fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    ends = stored(members.select(F.col("id").alias("e")).unionByName(pairs.select(F.col("a").alias("e"))).unionByName(pairs.select(F.col("b").alias("e"))).distinct())
+    sets = stored(_sets(docs, text_col, shingle, ends))
+    found = stored(_verified(pairs, sets, least))
+    # what isn't connected with its leader by now stays open; the leader itself has met all
+    known = _labels(found)
+    of = lambda name, c: known.select(F.col("node").alias(name), F.col("component").alias(c))
+    held = members.join(of("p", "own"), F.col("id") == F.col("p"), "left").join(of("q", "of_leader"), F.col("leader") == F.col("q"), "left")
+    apart = ~F.coalesce(F.col("own") == F.col("of_leader"), F.lit(False)) & (F.col("id") != F.col("leader"))
+    rest = stored(held.filter("size > 2 and id != leader").select("g", "id", "size", apart.alias("open")))
+    more = _compared_in_blocks(rest.filter("open"), rest, sets, least)
+    out = stored(found.unionByName(more).distinct())
+    forget(members, prints, pairs, ends, sets, found, known, rest)
     return out
 
 
-def _shingle_sets(docs: DataFrame, key: str, text_col: str, shingle: int, ends: DataFrame) -> DataFrame:
-    """Rows (e, s): the ids ``ends`` and their distinct shingles."""
-    schema = T.StructType([ends.schema["e"], T.StructField("s", T.ArrayType(T.LongType()))])
-
-    def hashed(batch: dict[str, list]) -> dict[str, list]:
-        return {"e": batch["e"], "s": [shingle_hashes(t, shingle).view(np.int64) for t in batch["t"]]}
-
-    slim = docs.select(F.struct(docs[key].alias("k"), F.xxhash64(docs[text_col]).alias("h")).alias("i"), docs[text_col].cast("binary").alias("t"))
-    return map_arrow(slim.join(small_side(ends), F.col("i") == F.col("e")).select("e", "t"), hashed, schema).dropDuplicates(["e"])
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """Rows (id, component) of documents with a verified link: id and component are structs of key and text hash.
+    """Rows (k, id, copies, keep): each key and text (two hashes) with words, how often it comes, and its group's keeper (k, id).
 
-    Links are pairs with a Jaccard similarity of ``least`` or more of their shingle sets; the component is the smallest id.
+    Links are pairs of texts with a Jaccard similarity of ``least`` or more of their shingle sets (a text of fewer words
+    is one shingle); equal texts are linked. The keeper is the smallest key, a null key last, then the smallest text.
+    Null and empty texts, and those without words, are no part of it; an empty table gives an empty result.
     """
-    edges = _edges(docs, key, text_col, shingle, least)
-    nodes = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    return components(edges, nodes.select("fp", F.col("fp").alias("label"))).select(F.col("fp").alias("id"), "component")
+    rows = stored(_described(docs, text_col, shingle, key).filter("n > 0"))
+    texts = stored(rows.select("id", "n", "fp", "views").dropDuplicates(["id"]))
+    edges = _edges(docs, texts, text_col, shingle, least)
+    known = _labels(edges)
+    each = rows.groupBy("k", "id").agg(F.count(F.lit(1)).alias("copies"))
+    each = stored(each.join(known, F.col("id") == F.col("node"), "left").select("k", "id", "copies", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("of")))
+    keeper = each.groupBy("of").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "id")).alias("keep"), F.count(F.lit(1)).alias("rows"), F.max("copies").alias("most"))
+    keeper = keeper.filter("rows > 1 or most > 1").select(F.col("of").alias("f"), F.struct("keep.k", "keep.id").alias("keep"))
+    out = stored(each.join(keeper, F.col("of") == F.col("f"), "left").select("k", "id", "copies", F.coalesce("keep", F.struct("k", "id")).alias("keep")))
+    forget(rows, texts, edges, known, each)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, less those whose group holds a smaller key.
+    """The rows of ``docs``, all columns as they are, less those whose group of near-duplicates has another keeper.
 
-    Texts without words are no near-duplicates of anything. Rows that agree in key and text are one document.
+    The keeper is the row with the smallest key (a null key last); of rows that agree in key and text, the one with the
+    smallest hash of all columns stays. Null and empty texts, and those without words, are no near-duplicates of anything
+    and all stay. Rows that a bitmap of what is to be dropped doesn't mark are passed on where they are.
     """
     found = near_duplicates(docs, key, text_col=text_col, shingle=shingle, least=least)
-    gone = stored(found.filter("id != component").select(F.col("id").alias("__gone")))
-    here = F.struct(docs[key].alias("k"), F.xxhash64(docs[text_col]).alias("h"))
-    return docs.withColumn("__id", here).join(small_side(gone), F.col("__id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    hashed = F.xxhash64("k", "id")
+    gone = found.filter(~F.struct("k", "id").eqNullSafe(F.col("keep")))
+    looked_up = stored(found.filter(~F.struct("k", "id").eqNullSafe(F.col("keep")) | (F.col("copies") > 1)).select(hashed.alias("h")))
+    words = F.coalesce(col(docs, text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = marked(nested(docs, k=col(docs, key), id=_text_id(col(docs, text_col)), words=words, order=row_hash(docs)).withColumn("h", hashed), looked_up)
+    rows = rows.withColumn("maybe", F.col("maybe") & F.col("words"))
+    gone = gone.select(hashed.alias("g"), F.col("k").alias("l"), F.col("id").alias("t"))
+    doubtful = rows.filter("maybe").join(gone, (F.col("h") == F.col("g")) & F.col("k").eqNullSafe(F.col("l")) & (F.col("id") == F.col("t")), "left_anti")
+    stay = doubtful.groupBy("k", "id").agg(F.min_by("row", "order").alias("row"))
+    return unnested(rows.filter("not maybe").select("row").unionByName(stay.select("row")), docs.columns)

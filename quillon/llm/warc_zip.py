@@ -1,7 +1,8 @@
 """WARC archives in ZIP packages: written, and read back by ranges without unpacking.
 
 A package (one file) holds two stored members: ``archive/data.warc.gz``, whose records are gzip members of their own,
-and ``indexes/index.cdxj``, a line per record with its offset and length in the archive. The reader takes the end of the
+and ``indexes/index.cdxj``, a line per record: the reversed host and path of its URL, its time, and a JSON object with its
+offset and length in the archive, sorted by the first two. The reader takes the end of the
 file, follows the directory (ZIP64 included) to the members, reads the index and then each record by its range.
 
 Packages lie in the folder that driver and executors share, reached by its URI (file, hdfs, s3 and what else pyarrow's
@@ -16,12 +17,14 @@ import contextlib
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import new_path, settle, slices, small_side
+from quillon.llm.common import col, new_path, slices, small_side, stored
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payload bytes after which a task starts another package.
@@ -50,13 +53,27 @@ def urn(record: int | None) -> str:
     return f"<urn:x-page:{'' if record is None else record}>"
 
 
+def escaped(url: str) -> str:
+    """The URL as a header bears it: what isn't printable ASCII as its UTF-8 bytes, percent-encoded."""
+    return quote(url, safe="".join(chr(c) for c in range(0x21, 0x7F)))
+
+
+def sort_key(url: str | None) -> str:
+    """The key of an index line: host parts last to first, then path and query, in lower case; "-" without a URL."""
+    parts = urlsplit(escaped(url or "").lower(), allow_fragments=False) if "[" not in (url or "") else None
+    if parts is None or not parts.netloc:
+        return escaped(url or "-").lower()
+    host = parts.netloc.rpartition("@")[2].removeprefix("www.")
+    return ",".join(reversed(host.partition(":")[0].split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+
+
 def record_bytes(record: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, digest: str | None = None) -> bytes:
     """One WARC record, not compressed. A revisit holds the HTTP header, which states the payload's length, and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(record)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest or payload_digest(payload)}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in url))
+        head.append(f"WARC-Target-URI: {escaped(url)}")
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -105,24 +122,25 @@ def _fields(lines: list[str]) -> dict[str, str]:
 
 
 class PackageWriter:
-    """Streams records to one ZIP package; the index, a short line per record, is held until the end."""
+    """Streams records to one ZIP package; the index, a short line per record of one package, is held until the end."""
 
     def __init__(self, stream):
         self.stream, self.zip = stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.member = self.zip.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True)
         self.at, self.index, self.taken = 0, [], 0
 
-    def add(self, record: int | None, raw: bytes) -> None:
+    def add(self, record: int | None, url: str | None, raw: bytes) -> None:
         packed = gzip.compress(raw, LEVEL, mtime=0)
         self.member.write(packed)
-        self.index.append(json.dumps({"id": record, "offset": self.at, "length": len(packed)}, separators=(",", ":")))
+        entry = {"id": record, "url": url, "filename": ARCHIVE.rpartition("/")[2], "offset": str(self.at), "length": str(len(packed))}
+        self.index.append(f"{sort_key(url)} {re.sub('[^0-9]', '', DATE)} {json.dumps(entry, separators=(',', ':'))}")
         self.at += len(packed)
         self.taken += len(raw)
 
     def close(self) -> int:
         self.member.close()
         with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as member:
-            member.write("\n".join(self.index).encode())
+            member.write("\n".join(sorted(self.index)).encode())
         self.zip.close()
         self.stream.close()
         return len(self.index)
@@ -195,9 +213,9 @@ class PackageReader:
     def records(self) -> Iterator[bytes]:
         """Every record of the archive, read by the ranges of the index."""
         start = self.start(ARCHIVE)
-        for line in self.member(INDEX).decode().splitlines():
-            entry = json.loads(line)
-            yield zlib.decompress(self._read(start + entry["offset"], entry["length"]), 31)
+        for line in filter(None, self.member(INDEX).decode().split("\n")):
+            entry = json.loads(line.split(" ", 2)[2])
+            yield zlib.decompress(self._read(start + int(entry["offset"]), int(entry["length"])), 31)
 
 
 class _Source:
@@ -220,16 +238,18 @@ def decided(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     if few enough, else joined by digest.
     """
     # the digest decides; null counts as empty
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(col(pages, "page_id").cast("long").alias("page_id"), col(pages, "url").alias("url"), F.coalesce(col(pages, "html"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload"))
     several = keyed.select("page_id", "digest", F.octet_length("payload").alias("n")).filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    several = settle(several.select(F.col("digest").alias("d"), "keeper"))
+    several = stored(several.select(F.col("digest").alias("d"), "keeper"))
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return keyed.join(small_side(several), F.col("digest") == F.col("d"), "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def write_packages(rows: DataFrame, uri: str, *, roll: int = ROLL) -> DataFrame:
-    """Write the rows of ``decided`` as packages under ``uri``; returns the manifest (path, records), settled."""
+    """Write the rows of ``decided`` as packages under ``uri``; returns the manifest (path, records), stored.
+
+    A null url leaves its header out; an empty table writes no package."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(MANIFEST)
@@ -244,7 +264,7 @@ def write_packages(rows: DataFrame, uri: str, *, roll: int = ROLL) -> DataFrame:
                     if writer is None:
                         path = f"{base}/{uuid.uuid4().hex}.wacz"
                         writer = PackageWriter(fs.open_output_stream(path))
-                    writer.add(page, record_bytes(page, url, payload, "response" if refers is None else "revisit", refers))
+                    writer.add(page, url, record_bytes(page, url, payload, "response" if refers is None else "revisit", refers))
                     if writer.taken >= roll:
                         done.append((path, writer.close()))
                         writer = None
@@ -253,7 +273,7 @@ def write_packages(rows: DataFrame, uri: str, *, roll: int = ROLL) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done]), pa.array([n for _, n in done], pa.int64())], schema=schema)
 
-    return settle(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, MANIFEST))
+    return stored(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, MANIFEST))
 
 
 def read_packages(manifest: DataFrame, uri: str) -> DataFrame:
@@ -267,7 +287,9 @@ def read_packages(manifest: DataFrame, uri: str) -> DataFrame:
         kind, stated = record.headers["warc-type"], record.headers["warc-payload-digest"].removeprefix("sha1:")
         if kind == "response" and payload_digest(record.payload) != stated:
             raise ValueError(f"the payload of record {record.number} is damaged")
-        return record.number, int(record.http["content-length"]), stated, kind, record.refers_to
+        # a revisit has no payload of its own, but states that of the response it refers to
+        size = len(record.payload) if kind == "response" else int(record.http["content-length"])
+        return record.number, size, stated, kind, record.refers_to
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(uri)
