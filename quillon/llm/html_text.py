@@ -2,22 +2,27 @@
 
 A tolerant tree builder keeps the stack of open elements, with the implied tags of HTML (an open paragraph ends before a
 block, list items and table cells end each other, rows and bodies of tables come into being, text astray in a table
-moves before it). What the tree says is visible is rendered as it is closed: blocks apart by lines, paragraphs and
-headings by blank ones, list items with bullets or numbers, preformatted text as it is, table cells in aligned columns.
-
-The builder streams: a table's cells and a list's items are rendered in frames of their own, so depth costs no recursion.
+moves before it). What the tree says is visible is rendered as it is met: blocks apart by lines, paragraphs and
+headings by blank ones, list items with bullets or numbers, preformatted text as it is, table cells in aligned columns,
+over row and column spans and by the width that characters take.
+
+The builder streams. It knows where on the stack each tag is open, so no search goes through the stack, and lines are
+indented as they are written; only tables hold back what is in them. So time and memory are linear in the page, nesting
+included: text more than DEEPEST levels in isn't indented further, tables more than DEEPEST_TABLE levels in show their
+cells as blocks.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import map_arrow
+from quillon.llm.common import col, map_arrow
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
@@ -46,25 +51,73 @@ ENDS = {
     "caption": (("tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
 }
 _TABLE_PARTS = frozenset("table tbody thead tfoot tr colgroup".split())
-_BARRIERS = frozenset("td th table caption html template".split())
+_BARRIERS = ("td", "th", "table", "caption", "html", "template")
 _HEAD_TAGS = frozenset("base link meta title style script noscript template head html".split())
+_LISTS = ("ul", "ol", "menu", "dir")
+_CELLS = ("td", "th", "caption")
 
 _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
-_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
-#: Columns are padded to this many characters at most.
-WIDEST = 60
+_COMMENT_END = re.compile(r"--!?>")
+_NUMBER = re.compile(r"-?\d{1,9}")
+_SPAN = re.compile(r"\d{1,6}")
+#: Levels of lists and quotations that are indented, and of tables that are laid out in columns.
+DEEPEST, DEEPEST_TABLE = 32, 8
+#: Cells that aren't their row's last are wrapped at this width; single words and preformatted lines may widen a column
+#: to LONGEST, and beyond that push the rest of their own line aside. Spans are as wide as HTML lets them be.
+WIDEST, LONGEST, MOST_SPAN = 60, 200, 1000
+
+
+def width(text: str) -> int:
+    """The columns that a text takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class _Frame:
-    """Text being rendered: finished lines, the line being written, and the break that is due before more text."""
+    """Text being rendered: finished lines, the line being written, and the break that is due before more text.
 
-    __slots__ = ("lines", "line", "due", "space", "started")
+    ``inside`` has what lines begin with: for each list item or quotation the first line's start (None once written) and
+    that of the others.
+    """
+
+    __slots__ = ("lines", "line", "due", "space", "inside", "shallowest", "marks", "beyond")
 
     def __init__(self):
-        self.lines, self.line, self.due, self.space, self.started = [], [], 0, False, False
+        self.lines, self.line, self.due, self.space = [], [], 0, False
+        self.inside, self.shallowest, self.marks, self.beyond = [], 0, [], 0
+
+    def enter(self, first: str, others: str) -> None:
+        """Lines begin with this from now on."""
+        if len(self.inside) < DEEPEST:
+            self.inside.append([first, others])
+        else:
+            self.beyond += 1
+            if first != others:
+                self.marks.append(first)
+
+    def leave(self) -> None:
+        if self.beyond:
+            self.beyond -= 1
+            if not self.beyond:
+                self.marks.clear()
+        else:
+            self.inside.pop()
+            self.shallowest = min(self.shallowest, len(self.inside))
+
+    def _start(self) -> str:
+        out = []
+        for entry in self.inside:
+            out.append(entry[1] if entry[0] is None else entry[0])
+            entry[0] = None
+        out += self.marks
+        self.marks.clear()
+        self.shallowest = len(self.inside)
+        return "".join(out)
 
     def brk(self, n: int) -> None:
         """At least n line ends before the next text (1: a new line, 2: a blank line between)."""
@@ -73,6 +126,16 @@ class _Frame:
             self.line = []
         self.due, self.space = max(self.due, n), False
 
+    def _begin(self) -> None:
+        """A line is begun, if none is: blank lines that are due, then what lines begin with here."""
+        if self.line:
+            return
+        if self.due and self.lines:
+            blank = "".join(x[1] for x in self.inside[: self.shallowest] if x[0] is None).rstrip(" ")
+            self.lines.extend([blank] * (self.due - 1))
+        self.due = 0
+        self.line.append(self._start())
+
     def write(self, text: str, pre: bool = False) -> None:
         if pre:
             first, *rest = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -80,9 +143,10 @@ class _Frame:
                 self._begin()
                 self.line.append(first)
             for more in rest:
-                self._begin()
-                self.lines.append("".join(self.line))
-                self.line = [more] if more else []
+                self.end_line()
+                if more:
+                    self._begin()
+                    self.line.append(more)
             return
         if not text:
             return
@@ -94,25 +158,28 @@ class _Frame:
         if not text:
             return
         tail = text[-1] == " "
+        inner = bool(self.line)
         self._begin()
-        if self.space and self.line:
+        if self.space and inner:
             self.line.append(" ")
         self.line.append(text[:-1] if tail else text)
         self.space = tail
 
-    def _begin(self) -> None:
-        if self.due and not self.line:
-            if self.started:
-                self.lines.extend([""] * (self.due - 1))
-            self.due = 0
-        self.started = True
+    def end_line(self) -> None:
+        """End the line as it is, empty or not."""
+        self._begin()
+        self.lines.append("".join(self.line).rstrip(" "))
+        self.line, self.space = [], False
 
     def put_lines(self, lines: list[str], space: int) -> None:
+        """Lines that are laid out already, ``space`` line ends apart from the rest."""
         if not lines:
             return
         self.brk(space)
-        self._begin()
-        self.lines.extend(lines)
+        for line in lines:
+            self._begin()
+            self.line.append(line)
+            self.brk(0)
         self.due = space
 
     def text_lines(self) -> list[str]:
@@ -138,7 +205,9 @@ class Renderer:
         self.root = _Frame()
         self.stack = [_Node("html", False, False, False, self.root)]
         self.frames = [self.root]
-        self.title, self.in_head, self.open_count = "", False, {"html": 1}
+        #: Where on the stack each tag is open, innermost last.
+        self.open: dict[str, list[int]] = {"html": [0]}
+        self.title, self.has_body = "", False
         self._parse(html)
         while len(self.stack) > 1:
             self._pop()
@@ -157,13 +226,9 @@ class Renderer:
                 self._text(html[at:lt])
             nxt = html[lt + 1 : lt + 2]
             if nxt == "!" or nxt == "?":
-                end = html.find("-->", lt + 4) if html.startswith("<!--", lt) else html.find(">", lt)
-                if html.startswith("<!-->", lt):
-                    at = lt + 5
-                elif end < 0:
+                at = self._skip(html, lt)
+                if at < 0:
                     return
-                else:
-                    at = end + (3 if html.startswith("<!--", lt) else 1)
                 continue
             closing = nxt == "/"
             m = _TAG.match(html, lt + 1 + closing)
@@ -206,122 +271,124 @@ class Renderer:
                 if self.stack[-1].tag == tag:
                     self._pop()
                 continue
+            if tag == "plaintext" and not foreign:  # nothing after it is a tag
+                self._raw(html[at:])
+                return
             if tag in RAW or tag in ESCAPABLE:
                 lower = html.lower() if lower is None else lower
                 end = lower.find(f"</{tag}", at) if len(lower) == size else html.find(f"</{tag}", at)
                 body = html[at : end if end >= 0 else size]
                 if tag in ESCAPABLE:
                     self._text(body)
-                elif tag == "xmp" and not self.stack[-1].hidden and not self.stack[-1].mute:
-                    self.frames[-1].write(body, True)
+                elif tag == "xmp":
+                    self._raw(body)
                 if tag == "title" and not foreign and not self.title:
                     self.title = _SPACES.sub(" ", unescape(body)).strip()
                 at = size if end < 0 else end
                 if end < 0:
                     self._end(tag)
 
+    @staticmethod
+    def _skip(html: str, lt: int) -> int:
+        """Where a comment, doctype or instruction ends; -1 if it doesn't."""
+        if not html.startswith("<!--", lt):
+            end = html.find(">", lt)
+            return end + 1 if end >= 0 else -1
+        for short in ("<!-->", "<!--->"):
+            if html.startswith(short, lt):
+                return lt + len(short)
+        m = _COMMENT_END.search(html, lt + 4)
+        return m.end() if m else -1
+
+    def _raw(self, body: str) -> None:
+        if not self.stack[-1].hidden and not self.stack[-1].mute:
+            self.frames[-1].write(body, True)
+
     # -- tree -------------------------------------------------------------------------------------------------
 
-    def _is_open(self, tag: str) -> bool:
-        return self.open_count.get(tag, 0) > 0
+    def _at(self, *tags: str) -> int:
+        """Where on the stack the innermost open element of these tags is; -1 if none is open."""
+        return max((x[-1] for t in tags if (x := self.open.get(t))), default=-1)
 
     def _foreign(self) -> str | None:
         """The SVG or MathML element that the next tag belongs to."""
-        if not self._is_open("svg") and not self._is_open("math"):
-            return None
-        for node in reversed(self.stack):
-            if node.tag in ("svg", "math"):
-                return node.tag
-            if node.tag in WITHIN:
-                return None
-        return None
+        at = self._at("svg", "math")
+        return self.stack[at].tag if at > self._at(*WITHIN) else None
 
     def _unpainted(self) -> bool:
         """Whether text here stands in an SVG element outside its text elements."""
-        if self._is_open("svg"):
-            for node in reversed(self.stack):
-                if node.tag in SVG_TEXT:
-                    return False
-                if node.tag == "svg":
-                    return True
-        return False
+        return self._at("svg") > self._at(*SVG_TEXT)
+
+    def _pop_to(self, at: int) -> None:
+        """End the element at a place of the stack and all in it."""
+        while len(self.stack) > at:
+            self._pop()
 
     def _close_to(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
         """End the innermost open element of ``tags`` and all in it, unless one of ``stops`` is nearer."""
-        if not any(self.open_count.get(t) for t in tags):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if tag in stops:
-                return
+        at = self._at(*tags)
+        if at > 0 and at >= self._at(*stops):
+            self._pop_to(at)
 
     def _start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in ("html", "body"):
-            if tag == "body":
+            if tag == "body" and not self.has_body:
                 self._close_to(("head",), ())
+                self.has_body, root = True, self.stack[0]
+                root.hidden, root.mute = self._hidden(attrs), self._mute(attrs.get("style", ""), False)
             return
-        if tag == "head" and self._is_open("head"):
+        if tag == "head" and self._at("head") >= 0:
             return
-        if self._is_open("head") and tag not in _HEAD_TAGS and self.stack[-1].tag == "head":
+        if self.stack[-1].tag == "head" and tag not in _HEAD_TAGS:
             self._pop()  # the body is implied
-        if tag in ENDS_P and self._is_open("p"):
-            self._close_to(("p",), tuple(_BARRIERS))
+        if tag in ENDS_P:
+            self._close_to(("p",), _BARRIERS)
         if tag in ENDS:
             tags, stops = ENDS[tag]
             self._close_to(tags, stops)
-        if tag in ("td", "th", "tr") and self._is_open("table"):
-            parent = self.stack[-1].tag
-            if parent not in _TABLE_PARTS:
-                self._close_to_part()
-                parent = self.stack[-1].tag
-            if parent == "table":
+        if tag in ("td", "th", "tr") and self._at("table") >= 0:
+            part = self._at(*_TABLE_PARTS)
+            self._pop_to(part + 1)  # back to the innermost open part of the table
+            if self.stack[-1].tag == "table":
                 self._push("tbody", {})
             if tag != "tr" and self.stack[-1].tag != "tr":
                 self._push("tr", {})
-        if tag == "a" and self._is_open("a"):
-            self._close_to(("a",), tuple(_BARRIERS))
+        if tag == "a":
+            self._close_to(("a",), _BARRIERS)
         if tag in VOID:
             self._void(tag, attrs)
         else:
             self._push(tag, attrs)
 
-    def _close_to_part(self) -> None:
-        """Back to the innermost open part of a table."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in _TABLE_PARTS:
-                while len(self.stack) > i + 1:
-                    self._pop()
-                return
-
     def _end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
         if tag == "br":
             self._void("br", {})
             return
-        if not self._is_open(tag):
+        if self._at(tag) < 0:
             if tag == "p" and not self.stack[-1].hidden:
                 self.frames[-1].brk(2)
             return
-        stops = ("table",) if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("html",) if tag == "table" else ("td", "th", "caption", "table")
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if self.stack[i].tag in stops:
-                return
+        self._close_to((tag,), ("table",) if tag in (*_CELLS, "tr", "tbody", "thead", "tfoot") else ("html",) if tag == "table" else (*_CELLS, "table"))
 
     # -- rendering --------------------------------------------------------------------------------------------
 
+    @staticmethod
+    def _hidden(attrs: dict[str, str]) -> bool:
+        """By its own attributes; the last display that its style has goes before the attribute hidden."""
+        shown = _DISPLAY.findall(attrs["style"]) if "style" in attrs else []
+        return shown[-1].lower() == "none" if shown else "hidden" in attrs
+
+    @staticmethod
+    def _mute(style: str, otherwise: bool) -> bool:
+        seen = _VISIBILITY.findall(style) if style else []
+        return seen[-1].lower() != "visible" if seen else otherwise
+
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         parent = self.stack[-1]
         style = attrs.get("style", "")
-        hidden = parent.hidden or tag in HIDDEN or "hidden" in attrs or bool(style and _NO_DISPLAY.search(style))
+        hidden = parent.hidden or tag in HIDDEN or self._hidden(attrs)
         if tag == "dialog" and "open" not in attrs or parent.tag == "details" and parent.extra is not None and tag != "summary":
             hidden = True
         foreign = self._foreign()
@@ -329,109 +396,106 @@ class Renderer:
             hidden = True
         if foreign == "svg" and "visibility" in attrs and not _VISIBILITY.search(style):
             style = f"visibility:{attrs['visibility']}"
-        seen = style and _VISIBILITY.search(style)
-        mute = seen.group(1).lower() != "visible" if seen else parent.mute
-        node = _Node(tag, hidden, mute, parent.pre or tag in ("pre", "textarea", "listing", "xmp"))
+        node = _Node(tag, hidden, self._mute(style, parent.mute), parent.pre or tag in ("pre", "textarea", "listing", "xmp", "plaintext"))
         if tag == "details" and "open" not in attrs:
             node.extra = "closed"
         if not hidden:
-            frame = self.frames[-1]
-            if tag in ("td", "th", "caption") and self._is_open("table") or tag in ("li", "dd", "blockquote") or tag == "table" or tag == "tr" and self._is_open("table"):
-                self._enter(tag, attrs, node, frame)
-            elif tag in SPACED:
-                nested = tag in ("ul", "ol", "menu", "dir") and any(self.open_count.get(t) for t in ("ul", "ol", "menu", "dir"))
-                frame.brk(1 if nested else 2)
-                if tag in ("ul", "ol", "menu", "dir"):
-                    start = attrs.get("start", "1")
-                    node.extra = [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]
-            elif tag in BLOCK or foreign == "svg" and tag in SVG_TEXT or foreign == "math" and tag == "mtr":
-                frame.brk(1)
-            elif tag == "q":
-                self._write('"')
-            elif foreign == "math" and parent.tag in APART:
-                frame.space = frame.space or bool(parent.extra and frame.line)
-                parent.extra = True
+            self._open_block(tag, attrs, node, parent, foreign)
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
-        self.open_count[tag] = self.open_count.get(tag, 0) + 1
 
-    def _enter(self, tag: str, attrs: dict[str, str], node: _Node, frame: _Frame) -> None:
-        node.frame = _Frame()
+    def _open_block(self, tag: str, attrs: dict[str, str], node: _Node, parent: _Node, foreign: str | None) -> None:
+        frame, in_table = self.frames[-1], len(self.open.get("table", ()))
         if tag == "li":
-            # the nearest open list gives the mark
-            lists = next((x for x in reversed(self.stack) if x.tag in ("ul", "ol", "menu", "dir")), None)
-            node.extra = "- "
-            if lists is not None and lists.tag == "ol" and isinstance(lists.extra, list):
-                value = attrs.get("value", "")
-                if re.fullmatch(r"-?\d{1,9}", value):
-                    lists.extra[0] = int(value)
-                node.extra = f"{lists.extra[0]}. "
-                lists.extra[0] += 1
-        elif tag == "table":
-            node.extra = {"rows": [], "caption": []}
-        elif tag == "tr":
-            node.extra = []
-        elif tag in ("td", "th"):
-            span = attrs.get("colspan", "1")
-            node.extra = min(1000, int(span)) if re.fullmatch(r"[1-9]\d{0,5}", span) else 1
-        self.frames.append(node.frame)
+            frame.brk(1)
+            mark = self._mark(attrs)
+            frame.enter(mark, " " * len(mark))
+        elif tag == "dd":
+            frame.brk(1)
+            frame.enter("    ", "    ")
+        elif tag == "blockquote":
+            frame.brk(2)
+            frame.enter("> ", "> ")
+        elif tag == "table" and in_table < DEEPEST_TABLE:
+            node.frame, node.extra = _Frame(), {"rows": [], "caption": [], "outside": len(self.frames) - 1}
+        elif (tag in _CELLS or tag == "tr") and in_table and self.stack[self._at("table")].frame is not None:
+            node.frame, node.extra = _Frame(), [] if tag == "tr" else tuple(self._span(attrs.get(x, "1")) for x in ("colspan", "rowspan"))
+        elif tag in SPACED and tag != "table":
+            nested = tag in _LISTS and self._at(*_LISTS) >= 0
+            frame.brk(1 if nested else 2)
+            if tag in _LISTS:
+                start = attrs.get("start", "1")
+                node.extra = [int(start) if _NUMBER.fullmatch(start) else 1, nested]
+        elif tag in BLOCK or foreign == "svg" and tag in SVG_TEXT or foreign == "math" and tag == "mtr" or tag == "plaintext" or tag in _CELLS:
+            frame.brk(1)
+        elif tag == "q":
+            self._write('"')
+        elif foreign == "math" and parent.tag in APART:
+            frame.space = frame.space or bool(parent.extra and frame.line)
+            parent.extra = True
+        if node.frame is not None:
+            self.frames.append(node.frame)
+
+    @staticmethod
+    def _span(text: str) -> int:
+        """How many columns or rows; 0 (all rows that follow) for rows alone."""
+        return min(MOST_SPAN, int(text)) if _SPAN.fullmatch(text.strip()) else 1
+
+    def _mark(self, attrs: dict[str, str]) -> str:
+        """The nearest open list gives the mark of an item."""
+        at = self._at(*_LISTS)
+        if at < 0 or self.stack[at].tag != "ol" or not isinstance(self.stack[at].extra, list):
+            return "- "
+        count, value = self.stack[at].extra, attrs.get("value", "")
+        if _NUMBER.fullmatch(value):
+            count[0] = int(value)
+        count[0] += 1
+        return f"{count[0] - 1}. "
 
     def _pop(self) -> None:
         node = self.stack.pop()
-        self.open_count[node.tag] -= 1
+        self.open[node.tag].pop()
         if node.hidden:
             return
         tag = node.tag
         if node.frame is None:
             frame = self.frames[-1]
-            if tag in SPACED:
-                nested = tag in ("ul", "ol", "menu", "dir") and any(self.open_count.get(t) for t in ("ul", "ol", "menu", "dir"))
-                frame.brk(1 if nested else 2)
-            elif tag in BLOCK or tag in SVG_TEXT and self._is_open("svg") or tag == "mtr" and self._is_open("math"):
+            if tag in ("li", "dd", "blockquote"):
+                frame.brk(2 if tag == "blockquote" else 1)
+                frame.leave()
+            elif tag in SPACED and tag != "table":
+                frame.brk(1 if tag in _LISTS and node.extra[1] else 2)
+            elif tag in BLOCK or tag in SVG_TEXT and self._at("svg") >= 0 or tag == "mtr" and self._at("math") >= 0 or tag == "plaintext" or tag in _CELLS:
                 frame.brk(1)
             elif tag == "q":
                 self._write('"')
             return
         self.frames.pop()
-        outer, lines = self.frames[-1], node.frame.text_lines()
-        if tag == "li":
-            pad = " " * len(node.extra)
-            outer.put_lines([(node.extra if i == 0 else pad if x else "") + x for i, x in enumerate(lines)], 1)
-        elif tag == "dd":
-            outer.put_lines(["    " + x if x else x for x in lines], 1)
-        elif tag == "blockquote":
-            outer.put_lines(["> " + x if x else ">" for x in lines], 2)
-        elif tag == "tr":
-            table = self._table()
-            if table is not None and (node.extra or lines):
-                table["rows"].append(node.extra if not lines else [(lines, 1), *node.extra])
-        elif tag in ("td", "th", "caption"):
-            row = next((x for x in reversed(self.stack) if x.tag in ("tr", "table")), None)
-            if tag == "caption" and (table := self._table()) is not None:
-                table["caption"] += lines
-            elif row is not None and row.tag == "tr" and isinstance(row.extra, list):
-                row.extra.append((lines, node.extra))
-            else:
-                outer.put_lines(lines, 1)
-        elif tag == "table":
-            outer.put_lines(node.extra["caption"] + lines + aligned(node.extra["rows"]), 2)
-
-    def _table(self) -> dict | None:
-        return next((x.extra for x in reversed(self.stack) if x.tag == "table" and isinstance(x.extra, dict)), None)
+        lines = node.frame.text_lines()
+        if tag == "table":
+            self.frames[-1].put_lines(node.extra["caption"] + lines + aligned(node.extra["rows"]), 2)
+            return
+        table, row = self.stack[self._at("table")].extra, self._at("tr")
+        if tag == "tr":
+            if node.extra or lines:
+                table["rows"].append(node.extra if not lines else [(lines, 1, 1), *node.extra])
+        elif tag == "caption":
+            table["caption"] += lines
+        elif row > self._at("table") and isinstance(self.stack[row].extra, list):
+            self.stack[row].extra.append((lines, *node.extra))
+        else:
+            self.frames[-1].put_lines(lines, 1)
 
     def _void(self, tag: str, attrs: dict[str, str]) -> None:
         node = self.stack[-1]
-        if node.hidden or node.mute or "hidden" in attrs:
+        if node.hidden or node.mute or self._hidden(attrs):
             return
         frame = self.frames[-1]
         if tag == "br":
             if frame.line or frame.due == 0:
-                frame._begin()
-                frame.lines.append("".join(frame.line).rstrip(" "))
-                frame.line, frame.space = [], False
+                frame.end_line()
         elif tag == "hr":
             frame.put_lines(["---"], 2)
-        elif tag == "wbr":
-            pass
         elif tag == "img" and attrs.get("alt"):
             self._write(unescape(attrs["alt"]))
         elif tag == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset") and attrs.get("value"):
@@ -451,14 +515,10 @@ class Renderer:
         if node.tag in _TABLE_PARTS:
             if text.isspace():
                 return
-            # astray in a table: before it
-            depth = sum(1 for x in self.stack if x.frame is not None) - 1
-            for x in reversed(self.stack):
-                if x.frame is not None:
-                    depth -= 1
-                if x.tag == "table":
-                    self.frames[max(depth, 0)].write(text)
-                    return
+            table = self.stack[self._at("table")].extra if self._at("table") >= 0 else None
+            if table is not None:  # astray in a table: before it
+                self.frames[table["outside"]].write(text)
+                return
         self.frames[-1].write(text, node.pre)
 
     def _write(self, text: str) -> None:
@@ -466,25 +526,63 @@ class Renderer:
             self.frames[-1].write(text)
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: cells of a column begin at one position, columns up to WIDEST characters wide."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths.extend([0] * (at + span - len(widths)))
-            if span == 1:
-                widths[at] = max(widths[at], min(WIDEST, max(map(len, lines), default=0)))
-            at += span
+def wrapped(line: str) -> list[str]:
+    """The line in pieces of WIDEST columns at most where its spaces allow for it; lines with runs of spaces are laid out already."""
+    if width(line) <= WIDEST or "  " in line:
+        return [line]
+    out, now, used = [], [], -1
+    for word in line.split(" "):
+        more = width(word)
+        if now and used + 1 + more > WIDEST:
+            out.append(" ".join(now))
+            now, used = [], -1
+        now.append(word)
+        used += 1 + more
+    return [*out, " ".join(now)]
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: cells (lines, columns, rows that they span) of a column begin at one position.
+
+    A row goes round the columns that cells from rows above span; a cell with rows to span 0 spans all that follow.
+    """
+    placed, busy, n_columns = [], {}, 0  # busy: column to the first row that is free again
+    for y, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, columns, down in row:
+            while busy.get(at, 0) > y:
+                at += 1
+            columns = max(1, columns)
+            cells.append((at, lines, columns))
+            if down != 1:
+                busy.update(dict.fromkeys(range(at, at + columns), y + down if down else len(rows)))
+            at += columns
+        placed.append(cells)
+        n_columns = max(n_columns, at)
+    widths = [0] * n_columns
+    shown = []
+    for cells in placed:
+        last = len(cells) - 1
+        shown.append([(at, lines if i == last else [x for line in lines for x in wrapped(line)], columns) for i, (at, lines, columns) in enumerate(cells)])
+        for at, lines, columns in shown[-1]:
+            if columns == 1:
+                widths[at] = max(widths[at], max((w for w in map(width, lines) if w <= (LONGEST if at < n_columns - 1 else 0)), default=0))
+    left = [0]
+    for w in widths:
+        left.append(left[-1] + w + 3)
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                width = sum(widths[at : at + span]) + 3 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(width))
-                at += span
-            out.append(" | ".join(parts).rstrip(" "))
+    for cells in shown:
+        for i in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            parts, used = [], 0
+            for at, lines, _ in cells:
+                gap = left[at] - used
+                if at:  # the bar stands three columns before the cell, or right after what reaches over it
+                    parts.append(" " * (gap - 3) + " | " if gap >= 3 else " | ")
+                    used += max(gap, 3)
+                if i < len(lines):
+                    parts.append(lines[i])
+                    used += width(lines[i])
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
@@ -494,12 +592,16 @@ PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text
 def extract(pages: DataFrame, key: str = "page_id", *, html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: the key, title, visible text and its number of lines with text.
 
-    A null or empty page has an empty title and text. Rows are independent: repeated ones give equal results.
+    A null or empty page has an empty title and text. Rows are independent: repeated ones give equal results. Very long
+    and very deep pages take time and memory in proportion to their length. An empty table gives an empty result. Other
+    columns of ``pages`` may have any name; the key none of a result.
     """
-    schema = T.StructType([T.StructField(key, pages.schema[key].dataType), *PAGE.fields])
+    if key.lower() in PAGE.names:
+        raise ValueError(f"the key {key} has the name of a result")
+    slim = pages.select(col(pages, key).alias("k"), col(pages, html_col).alias("html"))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        done = [Renderer(h or "") for h in rows["__html"]]
-        return {key: rows["__key"], "title": [r.title for r in done], "text": [r.text for r in done], "n_lines": [sum(1 for x in r.text.split("\n") if x.strip()) for r in done]}
+        done = [Renderer(h or "") for h in rows["html"]]
+        return {"title": [r.title for r in done], "text": [r.text for r in done], "n_lines": [sum(1 for x in r.text.split("\n") if x.strip()) for r in done]}
 
-    return map_arrow(pages.select(pages[key].alias("__key"), F.col(html_col).alias("__html")), run, schema)
+    return map_arrow(slim, run, T.StructType([slim.schema["k"], *PAGE.fields]), carry=["k"]).withColumnRenamed("k", key)

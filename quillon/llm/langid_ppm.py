@@ -171,7 +171,7 @@ def fit(sample: dict[str, list[bytes]], *, order: int = 4, min_count: int = 16)
         longer = number(n + 1, (contexts[n][:, None] * a + np.arange(a)).ravel()).reshape(m, a) if n < order else np.full((m, a), -1)
         step[here] = np.where(longer >= 0, longer, step[parent] if n else 0)
     # where a context is as long as may be, its last byte's step is its suffix's
-    return PpmModel(langs, classes, step.ravel(), entry.ravel(), level.ravel(), np.concatenate(bits), escapes.reshape(-1, len(langs)), a, order)
+    return PpmModel(langs, classes, step.ravel(), entry.ravel(), level.ravel(), np.concatenate(bits), escapes.reshape(states * (order + 2), len(langs)), a, order)
 
 
 def training_sample(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_bytes: int = MAX_BYTES) -> dict[str, list[bytes]]:

@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 The blocks are all windows of consecutive words, as long as a template at the threshold: n / threshold words for a template
-of n words, so layout, blank lines and comment marks don't matter. A block meets a template if it holds at least
+of n words (or the whole text, if it is shorter), so layout, blank lines and comment marks don't matter. A block meets a template if it holds at least
 ``threshold`` of the template's distinct words (all of them for templates of fewer than SHORT, which chance would meet
 too often). Of templates that hold all words of another label's one (CC BY-NC and CC BY), a block must have the words
 that tell it apart, and a block of the other one none of them, so labels of variants exclude each other.
@@ -116,26 +116,33 @@ class TemplateIndex:
 
     def best(self, k: int, words: list[bytes]) -> float:
         """The largest share of template ``k`` that a block which meets it holds; 0 if none does."""
-        members, own, others, width = self.members[k], self.own[k], self.others[k], self.width[k]
+        members, others = self.members[k], self.others[k]
+        inside, low, most = [], 0, 0
+        for at, word in enumerate(words):
+            if word in members:
+                inside.append((at, word))
+            elif word in others:  # no block reaches over it
+                most, inside, low = max(most, self._most(k, inside, at - low, len(words))), [], at + 1
+        most = max(most, self._most(k, inside, len(words) - low, len(words)))
+        return most / len(members) if most else 0.0
+
+    def _most(self, k: int, inside: list[tuple[int, bytes]], length: int, whole: int) -> int:
+        """Of a run of ``length`` words with the template's words ``inside``, the most distinct ones in a block that meets it."""
+        if length < min(self.width[k], whole):
+            return 0  # no block fits in
         held: Counter = Counter()
-        inside: list[tuple[int, bytes]] = []
-        most, first = 0, 0
-        for at, word in ((i, w) for i, w in enumerate(words) if w in members or w in others):
-            if word in others:  # no block reaches over it
-                held.clear()
-                inside, first = [], 0
-                continue
-            inside.append((at, word))
+        most = first = 0
+        for at, word in inside:
             held[word] += 1
-            while inside[first][0] <= at - width:
+            while inside[first][0] <= at - self.width[k]:
                 gone = inside[first][1]
                 first += 1
                 held[gone] -= 1
                 if not held[gone]:
                     del held[gone]
-            if len(held) > most and len(held) >= self.need[k] and own <= held.keys():
+            if len(held) > most and len(held) >= self.need[k] and self.own[k] <= held.keys():
                 most = len(held)
-        return most / len(members) if most else 0.0
+        return most
 
     def found(self, words: list[bytes]) -> dict[str, float]:
         """Label and largest share of the templates that blocks of the text meet."""

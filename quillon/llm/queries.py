@@ -95,3 +95,45 @@ ORACLE_SQL: dict[str, str] = {
         placed AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
         SELECT doc_id, slot, CAST(t[slot + 1] AS INTEGER) AS shard FROM placed, filled""",
 }
+
+
+def _quality_sql() -> str:
+    """The base measures, sketches, fences and verdicts of quality.judged."""
+    levels = ", ".join(f"('{name}', {up}, {'NULL' if down is None else down}, {spread})" for name, up, down, spread in quality.MEASURES)
+
+    def fences(name: str, groups: str) -> str:
+        """SQL: the fences of each group's sketch by itself."""
+        by = f"PARTITION BY {groups}measure"
+        at = lambda percent: f"min(v) FILTER (WHERE upto * 100 >= n_rows * {percent})"
+        return f"""{name}_ranked AS (SELECT {groups}measure, v, sum(n) OVER ({by} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({by}) AS n_rows
+            FROM (SELECT {groups}measure, v, sum(n) AS n FROM counted GROUP BY {groups}measure, v)),
+        {name}_found AS (SELECT {groups}r.measure, any_value(spread) AS spread, max(n_rows) AS n_rows, {at("down")} AS down, {at("50")} AS middle, {at("up")} AS up FROM {name}_ranked r JOIN levels m ON r.measure = m.measure GROUP BY {groups}r.measure),
+        {name} AS (SELECT {groups}measure, CAST(n_rows AS DOUBLE) AS n_rows, down - spread * greatest(middle - down, 1) AS low, up + spread * greatest(up - middle, 1) AS high FROM {name}_found)"""
+
+    drawn = lambda own, rows, to: f"(({own}) * {rows} + ({to}) * {quality.PRIOR}) / ({rows} + {quality.PRIOR})"
+    blend = lambda x: drawn(f"g.{x}", "g.n_rows", drawn(f"l.{x}", "l.n_rows", f"a.{x}"))
+    return rf"""
+        WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+        s AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        windows AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM s WHERE len(ws) > 7),
+        shingles AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS w FROM windows),
+        twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM shingles),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS i FROM twice WHERE n > 1),
+        repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
+        base AS (SELECT s.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+            CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+            CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines FROM s LEFT JOIN repeats ON s.doc_id = repeats.doc_id),
+        judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+        long AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'repeats', 'dup_lines', 'word_len']) AS measure,
+            unnest([n_symbols * 1000 // greatest(n_words, 1), n_repeat_words * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_lines, 1), word_chars * 100 // greatest(n_words, 1)]) AS x FROM judged),
+        sketch AS (SELECT doc_id, lang, source, base_failed, measure, x - x % CAST(2 ** greatest(0, length(bin(x)) - 7) AS BIGINT) AS v FROM long),
+        counted AS (SELECT lang, source, measure, v, count(*) AS n FROM sketch WHERE NOT base_failed GROUP BY lang, source, measure, v),
+        levels(measure, up, down, spread) AS (VALUES {levels}),
+        {fences("own", "lang, source, ")}, {fences("by_lang", "lang, ")}, {fences("overall", "")},
+        fences AS (SELECT g.lang, g.source, g.measure, {blend("low")} AS low, {blend("high")} AS high
+            FROM own g JOIN by_lang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure JOIN overall a ON g.measure = a.measure),
+        bad AS (SELECT DISTINCT doc_id FROM sketch x JOIN fences f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND x.measure = f.measure WHERE v < low OR v > high)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM judged"""
+
+
+ORACLE_SQL["op4_quality_rules"] = _quality_sql()
