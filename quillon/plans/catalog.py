@@ -136,6 +136,7 @@ _both("show_tables", "CREATE TABLE a(x INT); CREATE TABLE b(y INT); SHOW TABLES"
 _both("describe", "CREATE TABLE a(x SMALLINT UNSIGNED, y VARCHAR(9)); DESCRIBE a", "SELECT 'a' AS table_name, '[x, y]' AS column_names, '[USmallint, Varchar]' AS column_types")
 _both("create_table", "CREATE TABLE a(x INT)", "SELECT 'CREATE TABLE a' AS success")
 _both("explain", "EXPLAIN SELECT n_name FROM nation WHERE n_nationkey > 3", None)
+_both("minute_second", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL '1440' MINUTE AS m, CAST(o_orderdate AS DATE) + INTERVAL '86399' SECOND AS s FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 DAY AS DATE) AS m, CAST(o_orderdate AS DATE) AS s FROM orders")
 
 
 # -- CSV: written from a table first, into the warehouse that all share -----------------------------------------------
@@ -151,7 +152,37 @@ def _csv(text: str, table: str, **options) -> Query:
     return run
 
 
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written by COPY TO, registered as a CSV table under a name of its own."""
+    engine = Engine(spark)
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/csv-{uuid.uuid4().hex}.csv"
+    engine.load_parquet_dir(sf_dir, ["nation"])
+    engine.run(f"COPY (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 1) TO '{path}' (DELIMITER ';')")
+    engine.load_csv("lands", path, delim=";")
+    return engine.sql("SELECT n_name, n_nationkey + 1 AS k FROM lands WHERE n_nationkey > 2")
+
+
+def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a table written by COPY TO without a header, and read back by COPY FROM."""
+    engine = Engine(spark)
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/csv-{uuid.uuid4().hex}.csv"
+    engine.load_parquet_dir(sf_dir, ["customer"])
+    engine.run(f"COPY customer(c_custkey, c_name) TO '{path}' (DELIMITER '|', HEADER false); CREATE TABLE c(k BIGINT, n VARCHAR); COPY c FROM '{path}' (DELIMITER '|', HEADER false)")
+    return engine.sql("SELECT k, n FROM c")
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plans that EXPLAIN lists, in their order, and whether the one that runs filters at the scan."""
+    engine = Engine(spark)
+    engine.load_parquet_dir(sf_dir, ["nation"])
+    rows = engine.sql("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey > 3")
+    return rows.select("explain_type", (F.col("explain_value").contains("GreaterThan(n_nationkey,3)") | F.col("explain_value").contains("> 3)")).alias("filters"))
+
+
 CSV: dict[str, tuple[Query, str]] = {
+    "explain_types": (_explained, "SELECT * FROM (VALUES ('logical_plan', true), ('logical_plan_opt', true), ('physical_plan', true)) t(explain_type, filters)"),
+    "load_csv": (_registered, "SELECT n_name, CAST(n_nationkey + 1 AS BIGINT) AS k FROM nation WHERE n_regionkey > 1 AND n_nationkey > 2"),
+    "copy_to": (_copied, "SELECT c_custkey AS k, c_name AS n FROM customer"),
     "csv_read": (_csv("SELECT n_nationkey, n_name FROM read_csv('{path}') WHERE n_regionkey = 1", "nation", header=True), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1"),
     "csv_headerless": (_csv("SELECT column_1, column_2 FROM read_csv('{path}', delim=>'|', header=>false)", "region", sep="|"), "SELECT CAST(r_regionkey AS BIGINT) AS column_1, r_name AS column_2 FROM region"),
     "csv_by_path": (_csv("SELECT t.s_suppkey, t.s_acctbal FROM '{path}' t", "supplier", header=True), "SELECT s_suppkey, s_acctbal FROM supplier"),

@@ -59,8 +59,12 @@ class Engine:
             self.register(name, read_parquet(self.spark, folder, name))
 
     def _own(self, df: DataFrame) -> DataFrame:
-        """The frame in the engine's session, so that its views are found there."""
-        return df if df.sparkSession is self.spark else DataFrame(df._jdf, self.spark)
+        """The frame in the engine's session, so that its views are found there: sessions share global views."""
+        if df.sparkSession is self.spark:
+            return df
+        name = f"quillon_{uuid.uuid4().hex}"
+        df.createOrReplaceGlobalTempView(name)
+        return self.spark.table(f"global_temp.{name}")
 
     def _view(self, what: str, df: DataFrame) -> str:
         name = f"__{what}_{uuid.uuid4().hex}"
