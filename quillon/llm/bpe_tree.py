@@ -141,7 +141,7 @@ class TreeBpe:
         """Whether two neighbours encode to themselves."""
         found = self._stable.get((one, two))
         if found is None:
-            if len(self._stable) > 200_000:
+            if len(self._stable) > 50_000:
                 self._stable.clear()
             found = self._core.encode_single_piece(self.bytes_of[one] + self.bytes_of[two]) == [one, two]
             self._stable[one, two] = found
@@ -168,24 +168,27 @@ def encoder(path: str, pattern: str) -> TreeBpe:
     return _ENCODERS[path, pattern]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Add the token ids of ``text_col`` as an array of INT; ``path`` is a file on every executor.
 
-    A null or empty text has no ids; rows are independent, so repeated rows get equal ids; an empty table gives an empty
-    result. ``keep`` are the columns to carry (all by default), whatever their names; one named like ``ids_col`` is replaced.
+    With ``decoded_col``, the ids are decoded again, and the SHA-256 (lowercase hex) of the bytes is added under that name. A
+    null or empty text has no ids; rows are independent, so repeated rows get equal ids; an empty table gives an empty
+    result. ``keep`` are the columns to carry (all by default), whatever their names; those named like results are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != ids_col.lower()]
+    added = [ids_col] if decoded_col is None else [ids_col, decoded_col]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {x.lower() for x in added}]
     slim = docs.select(F.struct(F.lit(0).alias("-"), *[col(docs, c) for c in keep]).alias("row"), col(docs, text_col).alias("body"))
-    schema = T.StructType([slim.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([slim.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())][: 1 + len(added)])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         enc = encoder(path, pattern)
         ids = [np.frombuffer(little_endian(enc.encode(t or "")), "<i4") for t in rows["body"]]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))}
+        out = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))}
+        return out if decoded_col is None else out | {"decoded": [hashlib.sha256(enc.decode(x)).hexdigest() for x in ids]}
 
     out = map_arrow(slim, run, schema, carry=["row"])
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("ids").alias(ids_col))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], *[F.col(x).alias(name) for x, name in zip(("ids", "decoded"), added, strict=False)])
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

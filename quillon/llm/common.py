@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -157,11 +158,11 @@ def row_hash(df: DataFrame) -> Column:
 
 # -- Python stages --------------------------------------------------------------------------------------------------
 
-_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Let Arrow batches of this session hold some 8 MB, not 64: whole texts take several times that in Python.
+    """Let Arrow batches of this session hold some 4 MB, not 64: whole texts take several times that in Python.
 
     The queries and the pipeline call it for their session; operators leave their caller's session alone.
     """
@@ -191,11 +192,18 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
                     else:
                         columns.append(x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type))
                 yield pa.RecordBatch.from_arrays(columns, names=target.names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Give memory that a task no longer uses back to the system: workers are kept, and so would be the most they ever took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes, one row at least, so that Python holds few whole texts at once."""
     rows = batch.num_rows

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import col, forget, map_arrow, marked, nested, row_hash, small_side, stored, unnested
+from quillon.llm.common import col, forget, give_back, map_arrow, marked, nested, row_hash, small_side, stored, unnested
 
 #: Shingles that are hashed at once.
 BLOCK = 1 << 15
@@ -283,6 +283,7 @@ def _compared_in_blocks(open_rows: DataFrame, members: DataFrame, sets: DataFram
             found = forest(rows, listed.flatten().to_numpy(), np.flatnonzero(mark), np.flatnonzero(~mark), len(ids), least)
             pairs = [ids.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+        give_back()
 
     return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, link).filter("a != b")
 

@@ -572,6 +572,8 @@ def test_bpe_documents_there_and_back(awkward, library):
     assert_rows_of(back.drop("ids", "decoded"), awkward.drop("ids", "decoded"))
     for r in back.collect():
         assert r["ids"] == library.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
+    checked = bpe_tree.encode_documents(awkward, VOCABULARY, PATTERN, decoded_col="kept", keep=["doc_id", "kept", "a.b"])
+    assert checked.columns == ["doc_id", "a.b", "ids", "kept"] and plain(checked.select("doc_id", "kept")) == plain(bpe_tree.token_digests(awkward, VOCABULARY, PATTERN).select("doc_id", "decoded_sha256"))
     nulls = awkward.sparkSession.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert plain(bpe_tree.decode_ids(nulls, VOCABULARY, PATTERN).select("doc_id", "decoded")) == [(1, None), (2, bytearray(b""))]
     assert bpe_tree.token_digests(awkward.limit(0), VOCABULARY, PATTERN).count() == 0 == bpe_tree.encode_documents(awkward.limit(0), VOCABULARY, PATTERN).count()
