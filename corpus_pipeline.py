@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import bpe_tree, exact_dedup, mixing, quality, simhash
 from quillon.llm.common import new_path, read_table, remove, scratch, small_batches
@@ -38,9 +37,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row, and the SHA-256 of the bytes that they decode to, beside its doc_id, lang and source."""
     small_batches(spark)
-    vocabulary = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    ids = bpe_tree.encode_documents(docs, *vocabulary, keep=["doc_id", "lang", "source", "n_chars"])
-    return bpe_tree.decode_ids(ids, *vocabulary).withColumn("decoded", F.sha2("decoded", 256)).withColumnRenamed("decoded", "decoded_sha256")
+    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    return bpe_tree.encode_documents(docs, path, pattern, decoded_col="decoded_sha256", keep=["doc_id", "lang", "source", "n_chars"])
 
 
 STAGES = [
