@@ -132,14 +132,14 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
 # s ** SAMPLE in each view. What meets is verified by the exact Jaccard similarity of all shingles.
 #
 # Texts that share a sample's fingerprint form a group, which may be large. First each is compared with the group's leader
-# (the smallest by a hash of the text, so that leaders of one text's groups are often the same); links found connect most
-# of a group of copies. Then only those stay open that aren't connected with their leader; they are compared with all of
+# (the text that meets most others in all its groups, so one near the origin of edited copies, and often the same one in
+# many groups); links found connect most of a group. Then only those stay open that aren't connected with their leader; they are compared with all of
 # the group, in blocks of bounded size whose comparisons stay in their task and yield links of a spanning forest alone.
 # Groups of all sizes go the same way, and nothing that shares a fingerprint is left uncompared or unconnected.
 
 VIEWS, SAMPLE = 24, 3
 #: Open members, and members that they are compared with, in a block (about so many, dealt by a hash).
-OPEN_ROWS, BLOCK_ROWS = 64, 192
+OPEN_ROWS, BLOCK_ROWS = 256, 256
 #: Shingles that are multiplied at once.
 COLUMNS = 4096
 #: Keys of orders that are computed at once.
@@ -315,10 +315,14 @@ def _labels(edges: DataFrame) -> DataFrame:
 def _edges(docs: DataFrame, texts: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
     """Verified links (a, b) that connect all candidates with a similarity of ``least`` or more; ``texts``: (id, n, fp, views), distinct."""
     by_view = texts.select("id", "n", F.posexplode("views").alias("view", "print")).unionByName(texts.select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print")))
-    by_view = by_view.select(F.xxhash64("view", "print").alias("g"), "id", "n", F.xxhash64("id").alias("turn"))
-    lead = by_view.groupBy("g").agg(F.min(F.struct("turn", "id", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = lead.select(F.col("g").alias("gg"), F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"), "size")
-    members = stored(by_view.join(groups, F.col("g") == F.col("gg")).select("g", "id", "n", "size", "leader", "m"))
+    by_view = by_view.select(F.xxhash64("view", "print").alias("g"), "id", "n")
+    sizes = by_view.groupBy("g").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("g").alias("gg"), "size")
+    shared = stored(by_view.join(sizes, F.col("g") == F.col("gg")).drop("gg"))
+    # a group's leader is the text that meets most others in all its groups: of edited copies, one near their origin
+    weights = shared.groupBy("id").agg(F.sum("size").alias("weight")).select(F.col("id").alias("w"), "weight")
+    weighed = shared.join(weights, F.col("id") == F.col("w")).select("g", "id", "n", "size", F.struct("weight", F.xxhash64("id").alias("turn"), "id", "n").alias("rank"))
+    lead = weighed.groupBy("g").agg(F.max("rank").alias("lead")).select(F.col("g").alias("gg"), F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"))
+    members = stored(shared.join(lead, F.col("g") == F.col("gg")).drop("gg"))
     # whole fingerprints that differ in one or two bits: the smallest texts stand for them
     prints = stored(texts.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")))
     one, two = prints.select(F.col("fp").alias("a"), F.col("first.id").alias("x"), F.col("first.n").alias("nx")), prints.select(F.col("fp").alias("b"), F.col("first.id").alias("y"), F.col("first.n").alias("ny"))
@@ -337,7 +341,7 @@ def _edges(docs: DataFrame, texts: DataFrame, text_col: str, shingle: int, least
     rest = stored(held.filter("size > 2 and id != leader").select("g", "id", "size", apart.alias("open")))
     more = _compared_in_blocks(rest.filter("open"), rest, sets, least)
     out = stored(found.unionByName(more).distinct())
-    forget(members, prints, pairs, ends, sets, found, known, rest)
+    forget(shared, members, prints, pairs, ends, sets, found, known, rest)
     return out
 
 
