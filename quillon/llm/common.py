@@ -103,12 +103,26 @@ def forget(*frames: DataFrame) -> None:
 # -- joins that move little -----------------------------------------------------------------------------------------
 
 
-def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``most`` rows at most (counted here), else as it is: then Spark shuffles the join.
+#: Rows, at most, of a narrow table that is broadcast for a join.
+MOST_ROWS = 100_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, with a broadcast hint if these are MOST_ROWS or fewer, else a hint to shuffle and merge.
+
+    Without a hint the planner goes by the size of the files below ``df``, scaled by the columns that are read: it knows
+    neither how well they are packed nor how many rows an ``explode`` makes, and a broadcast that it has once chosen stays.
+    For joins on equality, whose rows are narrow.
+    """
+    return F.broadcast(df) if rows <= MOST_ROWS else df.hint("merge")
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` as ``sized`` by its rows, which are counted here: broadcast if they are few, else Spark shuffles the join.
 
     For narrow rows that are stored already, so that counting is cheap.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return sized(df, df.limit(MOST_ROWS + 1).count())
 
 
 #: Bits of a marking bitmap, at least and at most (32 MB): the bound of what is broadcast.

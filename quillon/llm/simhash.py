@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import col, forget, give_back, map_arrow, marked, nested, row_hash, small_side, stored, unnested
+from quillon.llm.common import col, forget, give_back, map_arrow, marked, nested, row_hash, sized, small_side, stored, unnested
 
 #: Shingles that are hashed at once.
 BLOCK = 1 << 15
@@ -65,7 +65,7 @@ def _nibbles(x: str) -> str:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, among distinct fingerprints (column ``fp``) that connect all within two differing bits.
+    """Links (a, b), a < b, among distinct fingerprints (column ``fp``) that connect all within two differing bits; stored.
 
     Each link is within two bits, and any two fingerprints within two bits are connected by links.
     """
@@ -74,13 +74,16 @@ def links(prints: DataFrame) -> DataFrame:
     ways = ways.selectExpr("fp", "own", "cast((way + 1) div 2 as int) - 1 as segment", "if(way = 0, 0, if(way % 2 = 1, 1, -1)) as step")
     count = "(shiftrightunsigned(own, 4 * segment) & 15L)"
     cells = ways.filter(f"step = 0 or step = 1 and {count} < 4 or step = -1 and {count} > 0").selectExpr("fp", "segment", "step", "if(step = 0, own, own + shiftleft(cast(step as bigint), 4 * segment)) as cell")
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("cell").alias("full"))
-    shared = cells.join(counts, F.col("cell") == F.col("full"))
+    # many more than there are fingerprints, which the planner can't see: so they are counted before they are joined
+    full = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("cell").alias("full")))
+    shared = cells.join(small_side(full), F.col("cell") == F.col("full"))
     bit = "shiftleft(1L, 4 * segment + b)"
     flipped = f"transform(filter(sequence(0, 3), b -> (fp & {bit} = 0) = (step = 1)), b -> fp ^ {bit})"
     centres = shared.select("fp", F.explode(F.expr(f"if(step = 0, array(fp), {flipped})")).alias("centre"))
     met = centres.groupBy("centre").agg(F.collect_list("fp").alias("m")).filter("size(m) > 1")  # 65 at most
-    return met.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).filter("a < b and bit_count(a ^ b) <= 2").distinct()
+    out = stored(met.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).filter("a < b and bit_count(a ^ b) <= 2").distinct())
+    forget(full)
+    return out
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -92,11 +95,12 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     # the smallest label's node stands for it, so that jumps can follow it
     state = stored(nodes.select("node", F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("l"), F.col("node").alias("of")).alias("root")))
+    rows = state.count()
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = stored(state.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        near = both.join(sized(state.select(F.col("node").alias("b"), "root"), rows), "b").groupBy("a").agg(F.min("root").alias("near"))
+        step = stored(state.join(sized(near, rows), F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         ahead = step.select(F.col("node").alias("at"), F.col("root").alias("ahead"))
-        after = stored(step.join(ahead, F.col("root.of") == F.col("at"), "left").select("node", "was", F.least("root", "ahead").alias("root")))
+        after = stored(step.join(sized(ahead, rows), F.col("root.of") == F.col("at"), "left").select("node", "was", F.least("root", "ahead").alias("root")))
         forget(state, step)
         if after.filter("was != root").limit(1).count() == 0:
             forget(both)
@@ -113,7 +117,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
     """
     rows = stored(fingerprints(docs.select(col(docs, key).alias("k"), col(docs, text_col).cast("binary").alias("body")), shingle=shingle))
     prints = stored(rows.groupBy("fp").agg(F.min("k").alias("label"), F.count(F.lit(1)).alias("n")))
-    edges = stored(links(prints.select("fp")))
+    edges = links(prints.select("fp"))
     ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     linked = components(edges, prints.join(ends, "fp", "left_semi").select(F.col("fp").alias("node"), "label"))
     # a fingerprint of its own, with one row, needs no lookup
@@ -217,7 +221,8 @@ def _sets(docs: DataFrame, text_col: str, shingle: int, ends: DataFrame) -> Data
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) with a Jaccard similarity of ``least`` or more."""
     one, two = sets.select(F.col("e").alias("a"), F.col("s").alias("sa")), sets.select(F.col("e").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    # sets are wide, so however few they are, they are never broadcast
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-6).select("a", "b")
 
 
@@ -264,16 +269,16 @@ def forest(rows: np.ndarray, values: np.ndarray, first: np.ndarray, second: np.n
     return out
 
 
-def _compared_in_blocks(open_rows: DataFrame, members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that connect the open members (g, id) with those of ``members`` (g, id, size, open) in their group."""
+def _compared_in_blocks(open_rows: DataFrame, members: DataFrame, sets: DataFrame, least: float, groups: int) -> DataFrame:
+    """Links (a, b) that connect the open members (g, id) with those of ``members`` (g, id, size, open) in their group; ``groups`` at most."""
     counts = open_rows.groupBy("g").agg(F.count(F.lit(1)).alias("several")).select(F.col("g").alias("gg"), "several")
     at = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n)).cast("int")
-    held = members.join(counts, F.col("g") == F.col("gg")).withColumns({"rows": at("several", OPEN_ROWS), "columns": at("size", BLOCK_ROWS)})
+    held = members.join(sized(counts, groups), F.col("g") == F.col("gg")).withColumns({"rows": at("several", OPEN_ROWS), "columns": at("size", BLOCK_ROWS)})
     # an open member comes once per block of the others, another one once per block of the open ones
     first = held.filter("open").select("g", own("rows").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(True).alias("open"), "id")
     second = held.select("g", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), own("columns").alias("j"), F.lit(False).alias("open"), "id")
-    dealt = first.unionByName(second).join(sets, F.col("id") == F.col("e")).select("g", "i", "j", "open", "id", "s")
+    dealt = first.unionByName(second).join(sets.hint("merge"), F.col("id") == F.col("e")).select("g", "i", "j", "open", "id", "s")
     link = T.StructType([T.StructField(c, members.schema["id"].dataType) for c in ("a", "b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,17 +321,19 @@ def _edges(docs: DataFrame, texts: DataFrame, text_col: str, shingle: int, least
     """Verified links (a, b) that connect all candidates with a similarity of ``least`` or more; ``texts``: (id, n, fp, views), distinct."""
     by_view = texts.select("id", "n", F.posexplode("views").alias("view", "print")).unionByName(texts.select("id", "n", F.lit(-1).alias("view"), F.col("fp").alias("print")))
     by_view = by_view.select(F.xxhash64("view", "print").alias("g"), "id", "n")
-    sizes = by_view.groupBy("g").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("g").alias("gg"), "size")
-    shared = stored(by_view.join(sizes, F.col("g") == F.col("gg")).drop("gg"))
+    sizes = stored(by_view.groupBy("g").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("g").alias("gg"), "size"))
+    groups = sizes.count()
+    shared = stored(by_view.join(sized(sizes, groups), F.col("g") == F.col("gg")).drop("gg"))
     # a group's leader is the text that meets most others in all its groups: of edited copies, one near their origin
     weights = shared.groupBy("id").agg(F.sum("size").alias("weight")).select(F.col("id").alias("w"), "weight")
-    weighed = shared.join(weights, F.col("id") == F.col("w")).select("g", "id", "n", "size", F.struct("weight", F.xxhash64("id").alias("turn"), "id", "n").alias("rank"))
+    weighed = shared.join(sized(weights, shared.count()), F.col("id") == F.col("w")).select("g", "id", "n", "size", F.struct("weight", F.xxhash64("id").alias("turn"), "id", "n").alias("rank"))
     lead = weighed.groupBy("g").agg(F.max("rank").alias("lead")).select(F.col("g").alias("gg"), F.col("lead.id").alias("leader"), F.col("lead.n").alias("m"))
-    members = stored(shared.join(lead, F.col("g") == F.col("gg")).drop("gg"))
+    members = stored(shared.join(sized(lead, groups), F.col("g") == F.col("gg")).drop("gg"))
     # whole fingerprints that differ in one or two bits: the smallest texts stand for them
     prints = stored(texts.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")))
     one, two = prints.select(F.col("fp").alias("a"), F.col("first.id").alias("x"), F.col("first.n").alias("nx")), prints.select(F.col("fp").alias("b"), F.col("first.id").alias("y"), F.col("first.n").alias("ny"))
-    close = links(prints.select("fp")).join(one, "a").join(two, "b").select("x", "nx", "y", "ny")
+    alike = links(prints.select("fp"))
+    close = alike.join(small_side(one), "a").join(small_side(two), "b").select("x", "nx", "y", "ny")
     led = members.filter("id != leader").select(F.col("leader").alias("x"), F.col("m").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"))
     fit = led.unionByName(close).filter(F.least("nx", "ny") >= F.greatest("nx", "ny") * least)
     pairs = stored(fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
@@ -335,13 +342,14 @@ def _edges(docs: DataFrame, texts: DataFrame, text_col: str, shingle: int, least
     found = stored(_verified(pairs, sets, least))
     # what isn't connected with its leader by now stays open; the leader itself has met all
     known = _labels(found)
-    of = lambda name, c: known.select(F.col("node").alias(name), F.col("component").alias(c))
+    labelled = known.count()
+    of = lambda name, c: sized(known.select(F.col("node").alias(name), F.col("component").alias(c)), labelled)
     held = members.join(of("p", "own"), F.col("id") == F.col("p"), "left").join(of("q", "of_leader"), F.col("leader") == F.col("q"), "left")
     apart = ~F.coalesce(F.col("own") == F.col("of_leader"), F.lit(False)) & (F.col("id") != F.col("leader"))
     rest = stored(held.filter("size > 2 and id != leader").select("g", "id", "size", apart.alias("open")))
-    more = _compared_in_blocks(rest.filter("open"), rest, sets, least)
+    more = _compared_in_blocks(rest.filter("open"), rest, sets, least, groups)
     out = stored(found.unionByName(more).distinct())
-    forget(shared, members, prints, pairs, ends, sets, found, known, rest)
+    forget(sizes, shared, members, prints, alike, pairs, ends, sets, found, known, rest)
     return out
 
 
@@ -357,11 +365,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str = "te
     edges = _edges(docs, texts, text_col, shingle, least)
     known = _labels(edges)
     each = rows.groupBy("k", "id").agg(F.count(F.lit(1)).alias("copies"))
-    each = stored(each.join(known, F.col("id") == F.col("node"), "left").select("k", "id", "copies", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("of")))
+    each = stored(each.join(small_side(known), F.col("id") == F.col("node"), "left").select("k", "id", "copies", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("of")))
     keeper = each.groupBy("of").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "id")).alias("keep"), F.count(F.lit(1)).alias("rows"), F.max("copies").alias("most"))
-    keeper = keeper.filter("rows > 1 or most > 1").select(F.col("of").alias("f"), F.struct("keep.k", "keep.id").alias("keep"))
-    out = stored(each.join(keeper, F.col("of") == F.col("f"), "left").select("k", "id", "copies", F.coalesce("keep", F.struct("k", "id")).alias("keep")))
-    forget(rows, texts, edges, known, each)
+    keeper = stored(keeper.filter("rows > 1 or most > 1").select(F.col("of").alias("f"), F.struct("keep.k", "keep.id").alias("keep")))
+    out = stored(each.join(small_side(keeper), F.col("of") == F.col("f"), "left").select("k", "id", "copies", F.coalesce("keep", F.struct("k", "id")).alias("keep")))
+    forget(rows, texts, edges, known, each, keeper)
     return out
 
 
@@ -380,6 +388,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", *, text_col: str
     rows = marked(nested(docs, k=col(docs, key), id=_text_id(col(docs, text_col)), words=words, order=row_hash(docs)).withColumn("h", hashed), looked_up)
     rows = rows.withColumn("maybe", F.col("maybe") & F.col("words"))
     gone = gone.select(hashed.alias("g"), F.col("k").alias("l"), F.col("id").alias("t"))
-    doubtful = rows.filter("maybe").join(gone, (F.col("h") == F.col("g")) & F.col("k").eqNullSafe(F.col("l")) & (F.col("id") == F.col("t")), "left_anti")
+    doubtful = rows.filter("maybe").join(small_side(gone), (F.col("h") == F.col("g")) & F.col("k").eqNullSafe(F.col("l")) & (F.col("id") == F.col("t")), "left_anti")
     stay = doubtful.groupBy("k", "id").agg(F.min_by("row", "order").alias("row"))
     return unnested(rows.filter("not maybe").select("row").unionByName(stay.select("row")), docs.columns)

@@ -697,6 +697,21 @@ def test_simhash_crowded_cells(spark):
     assert smallest(set(values), lambda a, b: (a, b) in linked or (b, a) in linked) == want
 
 
+def plans_of_stored(monkeypatch):
+    """The plans of what the operator stores from here on, where no number of rows is small enough to be broadcast."""
+    plans, write = [], simhash.stored
+    monkeypatch.setattr(common, "MOST_ROWS", -1, raising=False)
+    monkeypatch.setattr(simhash, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    return plans
+
+
+def test_simhash_cells_are_joined_by_their_number(spark, monkeypatch):
+    """Files of few fingerprints have many cells: what is broadcast goes by the rows there are, not by the files' size."""
+    df, plans = common.stored(spark.range(3000).selectExpr("xxhash64(id div 3) ^ shiftleft(1L, cast(id % 3 as int)) as fp")), plans_of_stored(monkeypatch)
+    plans.append(simhash.links(df)._jdf.queryExecution().executedPlan().toString())
+    assert not [x for x in plans if "BroadcastHashJoin" in x]
+
+
 def near_groups(texts, size=5, least=0.8):
     """The smallest position of each text's group, by counting the shingles that any two have in common."""
     sets = [set(simhash.shingle_hashes((t or "").encode(), size).tolist()) for t in texts]
@@ -736,6 +751,16 @@ def test_near_duplicates_equal_all_comparisons(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_broadcast_only_few_rows(spark, monkeypatch):
+    """Where the rows are too many to be broadcast all joins are by shuffle, and the result is the same."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], f"edit{i}x{j}", *words[i + 1 :]]) for i in (0, 20, 59) for j in range(8)] + [" ".join(words[: 20 + i] + [f"more{i}"] * 30) for i in range(20)]
+    df = common.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want, plans = sorted(map(repr, simhash.near_duplicates(df).collect())), plans_of_stored(monkeypatch)
+    assert sorted(map(repr, simhash.near_duplicates(df).collect())) == want
+    assert len(plans) > 10 and not [x for x in plans if "BroadcastHashJoin" in x]
+
+
 def test_near_duplicates_with_null_and_repeated_keys(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(None, text, "a"), (None, text + " more", "b"), (3, text + " and more", "c"), (3, text + " and more", "d"), (None, "quite another text of six words", "e"), (None, "quite another text of six words", "f")]
