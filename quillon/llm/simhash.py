@@ -119,11 +119,11 @@ def cluster(docs: DataFrame, key: str = "doc_id", *, text_col: str = "text", shi
     prints = stored(rows.groupBy("fp").agg(F.min("k").alias("label"), F.count(F.lit(1)).alias("n")))
     edges = links(prints.select("fp"))
     ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    linked = components(edges, prints.join(ends, "fp", "left_semi").select(F.col("fp").alias("node"), "label"))
+    linked = components(edges, prints.join(sized(ends, 2 * edges.count()), "fp", "left_semi").select(F.col("fp").alias("node"), "label"))
     # a fingerprint of its own, with one row, needs no lookup
-    known = stored(prints.join(linked, F.col("fp") == F.col("node"), "left").filter("n > 1 or node is not null").select(F.col("fp").alias("f"), F.when(F.col("node").isNull(), F.col("label")).otherwise(F.col("component")).alias("component")))
+    known = stored(prints.join(small_side(linked), F.col("fp") == F.col("node"), "left").filter("n > 1 or node is not null").select(F.col("fp").alias("f"), F.when(F.col("node").isNull(), F.col("label")).otherwise(F.col("component")).alias("component")))
     forget(prints, edges, linked)
-    found = rows.join(known, F.col("fp") == F.col("f"), "left")
+    found = rows.join(small_side(known), F.col("fp") == F.col("f"), "left")
     return found.select(F.col("k").alias(key), "fp", F.when(F.col("f").isNull(), F.col("k")).otherwise(F.col("component")).alias("component"))
 
 

@@ -712,6 +712,16 @@ def test_simhash_cells_are_joined_by_their_number(spark, monkeypatch):
     assert not [x for x in plans if "BroadcastHashJoin" in x]
 
 
+def test_simhash_broadcasts_only_few_rows(spark, monkeypatch):
+    """Where the rows are too many to be broadcast all joins are by shuffle, and the result is the same."""
+    df = common.stored(spark.createDataFrame([(i, f"{i % 7} words that come again {i % 5}") for i in range(60)], "doc_id long, text string"))
+    want, plans = sorted(map(repr, simhash.cluster(df).collect())), plans_of_stored(monkeypatch)
+    out = simhash.cluster(df)
+    assert sorted(map(repr, out.collect())) == want
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [x for x in plans if "BroadcastHashJoin" in x]
+
+
 def near_groups(texts, size=5, least=0.8):
     """The smallest position of each text's group, by counting the shingles that any two have in common."""
     sets = [set(simhash.shingle_hashes((t or "").encode(), size).tolist()) for t in texts]
