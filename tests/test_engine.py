@@ -103,6 +103,19 @@ def test_salted_join_equals_join(spark):
         salted_join(left, right, ["k"], how="full")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_repeats_hot_keys_only_and_broadcasts_no_large_side(spark, how):
+    left = spark.createDataFrame([(1 if i % 3 else None if i % 2 else i, i) for i in range(300)], "k int, v int")
+    right = spark.range(120_000).selectExpr("id AS k", "concat('w', id) AS w")
+    plain, salted = left.join(right.hint("merge"), "k", how), salted_join(left, right, ["k"], how=how)
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Generate explode") == 1
+    assert salted.columns == plain.columns and sorted(rows(salted), key=repr) == sorted(rows(plain), key=repr)
+    even = salted_join(spark.range(300).toDF("k"), right, ["k"], how=how)  # without a hot key nothing is repeated
+    assert "Generate" not in even._jdf.queryExecution().executedPlan().toString() and even.count() == (0 if how == "left_anti" else 300)
+    assert "BroadcastHashJoin" in salted_join(left, right.limit(9), ["k"], how=how)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_residual_condition_holds_inside_an_outer_join(spark):
     left, right = spark.createDataFrame([(1, 5), (2, 6)], "a int, x int"), spark.createDataFrame([(1, 1), (2, 9)], "b int, y int")
     assert sorted(rows(join(left, right, [("a", "b")], "left", right["y"] > 3))) == [(1, 5, None, None), (2, 6, 2, 9)]
