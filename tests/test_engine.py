@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from quillon import dialect
 from quillon.cli import command
 from quillon.errors import BindError, CatalogError, EngineError, ParseError, UnsupportedStatement
 from quillon.operators.joins import join, salted_join
@@ -119,3 +120,51 @@ def test_salted_join_repeats_hot_keys_only_and_broadcasts_no_large_side(spark, h
 def test_residual_condition_holds_inside_an_outer_join(spark):
     left, right = spark.createDataFrame([(1, 5), (2, 6)], "a int, x int"), spark.createDataFrame([(1, 1), (2, 9)], "b int, y int")
     assert sorted(rows(join(left, right, [("a", "b")], "left", right["y"] > 3))) == [(1, 5, None, None), (2, 6, 2, 9)]
+
+
+_SKIPS = [
+    "SELECT a, b, d FROM t ORDER BY a DESC NULLS LAST, b DESC, d OFFSET 4",
+    "SELECT a FROM t ORDER BY 1 OFFSET 5",
+    "SELECT a FROM t ORDER BY d DESC, a OFFSET 5",
+    "SELECT b AS k, a + 1 AS s FROM t ORDER BY s * 2 DESC, k OFFSET 2",
+    "SELECT a AS b, b AS c FROM t ORDER BY b, c OFFSET 2",
+    "SELECT DISTINCT a FROM t ORDER BY a OFFSET 2",
+    "SELECT a, count(d) AS n FROM t GROUP BY a ORDER BY max(b), a OFFSET 1",
+    "SELECT a FROM t UNION ALL SELECT a FROM t ORDER BY a OFFSET 3",
+    "WITH u AS (SELECT a, b FROM t WHERE a > 0) SELECT b, a FROM u ORDER BY a DESC, b OFFSET 1 + 1",
+    "SELECT x.a FROM (SELECT a, b FROM t ORDER BY b, a OFFSET 2 ROWS) x ORDER BY a",
+    "SELECT a FROM t ORDER BY a OFFSET 99",
+]
+
+
+@pytest.mark.parametrize("text", _SKIPS)
+def test_offset_without_limit_moves_no_table_to_one_task(engine, text, monkeypatch):
+    engine.run("CREATE TABLE t(a INT, b VARCHAR, d DOUBLE); INSERT INTO t VALUES (1, 'x', 0.5), (1, 'x', 0.5), (1, 'x', 0.5), (1, 'v', 7), (NULL, 'y', 1.5), (2, NULL, NULL), (2, 'z', 2.5), (NULL, NULL, NULL), (3, 'w', 1), (3, 'w', 1)")
+    spread = engine.sql(text)
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan
+    found = rows(spread)
+    monkeypatch.setattr(dialect, "MOST_SKIPPED", 0)
+    own = engine.sql(text)
+    assert "Limit" in own._jdf.queryExecution().executedPlan().toString() and found == rows(own)
+
+
+def test_offset_skips_so_many_rows_of_a_group_of_equals(engine):
+    engine.run("CREATE TABLE t(d DOUBLE); INSERT INTO t VALUES (0.0), (CAST('-0.0' AS DOUBLE)), (0.0), (CAST('-0.0' AS DOUBLE)), (1)")
+    found = [str(d) for (d,) in rows(engine.sql("SELECT d FROM t ORDER BY d OFFSET 1"))]
+    assert sorted(found) in (["-0.0", "-0.0", "0.0", "1.0"], ["-0.0", "0.0", "0.0", "1.0"])
+    engine.register("many", engine.spark.range(200_000).selectExpr("'x' AS x"))
+    assert engine.sql("SELECT x FROM many ORDER BY x OFFSET 7").count() == 199_993
+
+
+@pytest.mark.parametrize("text", ["SELECT a FROM (SELECT a FROM t LIMIT 3) x ORDER BY a OFFSET 1", "SELECT a, rand() AS r FROM t ORDER BY r OFFSET 1", "SELECT a, sum(d) AS s FROM t GROUP BY a ORDER BY s OFFSET 1", "SELECT a FROM t WHERE d = (SELECT sum(d) FROM t) ORDER BY a OFFSET 1"])
+def test_offset_over_rows_that_may_differ_between_runs_is_left_to_spark(engine, text):
+    engine.run("CREATE TABLE t(a INT, d DOUBLE); INSERT INTO t VALUES (1, 0.5), (2, 0.25), (3, 1), (4, 2)")
+    assert "CROSS" not in engine.sql(text)._jdf.queryExecution().logical().toString().upper()
+
+
+@pytest.mark.parametrize("text", ["SELECT a FROM t ORDER BY a OFFSET -1", "SELECT a FROM t ORDER BY nowhere OFFSET 1", "SELECT a FROM t ORDER BY 2 OFFSET 1"])
+def test_wrong_offsets_and_orders_fail(engine, text):
+    engine.run("CREATE TABLE t(a INT); INSERT INTO t VALUES (1), (2)")
+    with pytest.raises((EngineError, PySparkException)):
+        engine.sql(text).collect()
